@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.bagminhash import op10_bagminhash
 from graphloom.llm.media_query import op4_tiff_media
 from graphloom.llm.repeats import op8_repeated_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tiff_media": op4_tiff_media,
     "op8_repeated_windows": op8_repeated_windows,
+    "op10_bagminhash": op10_bagminhash,
 }
 ORACLE_SQL: dict[str, str] = {}
