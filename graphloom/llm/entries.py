@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.bagminhash import op10_bagminhash
 from graphloom.llm.media_query import op4_tiff_media
+from graphloom.llm.packing import op6_best_fit
 from graphloom.llm.repeats import op8_repeated_windows
+from graphloom.llm.wordpiece import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tiff_media": op4_tiff_media,
+    "op6_best_fit": op6_best_fit,
     "op8_repeated_windows": op8_repeated_windows,
+    "op9_token_counts": op9_token_counts,
     "op10_bagminhash": op10_bagminhash,
 }
 ORACLE_SQL: dict[str, str] = {}
