@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def weak_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+#: A graph that has shrunk to this many edges is finished by one task, in some 100 MB.
+ONE_TASK_EDGES = 1 << 20
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) to (at, to), to being the least node of the component of at."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    ends = np.concatenate([np.concatenate(side) for side in zip(*parts, strict=True)])
+    nodes, code = np.unique(ends, return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    half = len(code) // 2
+    for a, b in zip(code[:half].tolist(), code[half:].tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    roots = np.array([root(x) for x in range(len(nodes))], np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["at", "to"])
+
+
+def weak_components(edges: DataFrame, source: str = "source", target: str = "target", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) for every end of an edge; component is the least node of the component.
 
-    Each round gives every node the neighbour (or itself) of least random priority and contracts the
+    While more than ``one_task`` edges are left, each round gives every node the neighbour (or itself) of least random priority and contracts the
     edges to these labels, so that the edges shrink by a constant factor and paths take logarithmically
     many rounds. Nodes of any degree are safe: minima combine before the shuffle, and joins on a hub are
     split by the adaptive planner. Null ends are dropped; loops only make their node appear.
@@ -28,7 +59,7 @@ def weak_components(edges: DataFrame, source: str = "source", target: str = "tar
     labels = cut(ends.select("u").union(ends.select("v")).distinct().select(F.col("u").alias("node"), F.col("u").alias("label")))
     live = cut(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     turn = 0
-    while not live.isEmpty():
+    while live.count() > one_task:
         turn += 1
         priority = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("p"), c.alias("id"))  # noqa: B023, E731
         both = live.select("u", "v").union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -41,5 +72,7 @@ def weak_components(edges: DataFrame, source: str = "source", target: str = "tar
         first = live.join(best, live["u"] == best["at"]).select(F.col("to").alias("u"), "v")
         both_moved = first.join(best, first["v"] == best["at"]).select("u", F.col("to").alias("v"))
         live = cut(both_moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    last = cut(live.coalesce(1).mapInArrow(_forest, "at long, to long"))
+    labels = labels.join(last, labels["label"] == last["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")
