@@ -10,9 +10,11 @@ from graphloom.llm.bagminhash import op10_bagminhash
 from graphloom.llm.media_query import op4_tiff_media
 from graphloom.llm.packing import op6_best_fit
 from graphloom.llm.repeats import op8_repeated_windows
+from graphloom.llm.toxicity import op3_toxicity
 from graphloom.llm.wordpiece import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_tiff_media": op4_tiff_media,
     "op6_best_fit": op6_best_fit,
     "op8_repeated_windows": op8_repeated_windows,
