@@ -45,6 +45,10 @@ BLOCK_ROWS, BLOCK_SHINGLES = 2048, 400_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _step(k: int) -> np.uint64:
+    return np.uint64(k * int(_GOLD) & (1 << 64) - 1)
+
+
 def multisets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, shingle and count of each distinct shingle of each row, by row."""
     grams, heads = words.grams(k)
@@ -88,7 +92,7 @@ def _points(out: np.ndarray, row: np.ndarray, item: np.ndarray, count: np.ndarra
     while len(row):
         wide = 1 if level == 0 else low
         r_all.append(row)
-        seed_all.append(mix(item + np.uint64(level + 1) * _GOLD))
+        seed_all.append(mix(item + _step(level + 1)))
         low_all.append(np.full(len(row), low))
         wide_all.append(np.full(len(row), wide))
         top_all.append(count)
@@ -102,13 +106,13 @@ def _points(out: np.ndarray, row: np.ndarray, item: np.ndarray, count: np.ndarra
     time, turn = np.zeros(len(r)), 0
     while len(r):
         turn += 1
-        draw = mix(seed + np.uint64(2 * turn) * _GOLD)
+        draw = mix(seed + _step(2 * turn))
         time = time - np.log(_uniform(draw)) / (wide_ * float(size))
         keep = time <= late[r]
         r, seed, low_, wide_, top, time = (x[keep] for x in (r, seed, low_, wide_, top, time))
         if not len(r):
             return
-        where = mix(seed + np.uint64(2 * turn + 1) * _GOLD)
+        where = mix(seed + _step(2 * turn + 1))
         part = ((where >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
         height = low_ + ((where & np.uint64(0xFFFFFFFF)) * wide_.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         under = height < top

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm import decontamination, lines
 from graphloom.llm.bagminhash import op10_bagminhash
 from graphloom.llm.media_query import op4_tiff_media
 from graphloom.llm.packing import op6_best_fit
@@ -14,11 +15,16 @@ from graphloom.llm.toxicity import op3_toxicity
 from graphloom.llm.wordpiece import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_prefix_decontamination": decontamination.op2_prefix_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_tiff_media": op4_tiff_media,
     "op6_best_fit": op6_best_fit,
+    "op7_line_spread": lines.op7_line_spread,
     "op8_repeated_windows": op8_repeated_windows,
     "op9_token_counts": op9_token_counts,
     "op10_bagminhash": op10_bagminhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_prefix_decontamination": decontamination.ORACLE,
+    "op7_line_spread": lines.ORACLE,
+}
