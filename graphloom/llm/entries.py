@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontamination, lines
 from graphloom.llm.bagminhash import op10_bagminhash
+from graphloom.llm.language import op5_language
 from graphloom.llm.media_query import op4_tiff_media
 from graphloom.llm.packing import op6_best_fit
 from graphloom.llm.repeats import op8_repeated_windows
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_decontamination": decontamination.op2_prefix_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_tiff_media": op4_tiff_media,
+    "op5_language": op5_language,
     "op6_best_fit": op6_best_fit,
     "op7_line_spread": lines.op7_line_spread,
     "op8_repeated_windows": op8_repeated_windows,
