@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontamination, lines
 from graphloom.llm.bagminhash import op10_bagminhash
+from graphloom.llm.chat import op1_chat_turns
 from graphloom.llm.language import op5_language
 from graphloom.llm.media_query import op4_tiff_media
 from graphloom.llm.packing import op6_best_fit
@@ -16,6 +18,7 @@ from graphloom.llm.toxicity import op3_toxicity
 from graphloom.llm.wordpiece import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_turns": op1_chat_turns,
     "op2_prefix_decontamination": decontamination.op2_prefix_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_tiff_media": op4_tiff_media,
@@ -25,8 +28,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_windows": op8_repeated_windows,
     "op9_token_counts": op9_token_counts,
     "op10_bagminhash": op10_bagminhash,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_turns": op1_chat_turns,
     "op2_prefix_decontamination": decontamination.ORACLE,
     "op7_line_spread": lines.ORACLE,
 }

@@ -295,6 +295,20 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, net: Network) -> DataFrame:
+    """docs, with all their columns, without the rows that score 0.5 or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for batch in batches:
+            for row, stop, words in column_words(batch.column(at), LETTERS, lower=True, limit=1 << 20):
+                yield batch.slice(row, stop - row).filter(pa.array(score_words(net, words) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
