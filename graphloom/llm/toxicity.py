@@ -266,9 +266,12 @@ def score_words(net: Network, words: Words) -> np.ndarray:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """(text, toxic): the bounded sample; a document with more than one label counts as toxic if any label says so."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").where(F.length("text") <= chars).join(marked, "doc_id")
-    order = (F.xxhash64("doc_id"), "doc_id", "text")
-    return texts.where("toxic = 1").orderBy(*order).limit(rows).unionAll(texts.where("toxic = 0").orderBy(*order).limit(rows)).select("text", "toxic")
+    slim = docs.where(F.length("text") <= chars).select("doc_id", F.xxhash64("text").alias("t")).distinct().join(marked, "doc_id")
+    order = (F.xxhash64("doc_id"), "doc_id", "t")
+    picked = slim.where("toxic = 1").orderBy(*order).limit(rows).unionAll(slim.where("toxic = 0").orderBy(*order).limit(rows))
+    # 2 * rows rows of two numbers and a label at most; the texts stay where they are read
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(F.broadcast(picked), ["doc_id", "t"])
+    return texts.dropDuplicates(["doc_id", "t"]).orderBy(*order).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
