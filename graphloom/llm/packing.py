@@ -14,10 +14,11 @@ the capacity; repeated rows are packed each; a null doc_id is kept; further colu
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,67 +27,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.store import cut, table
+from graphloom.llm.wordpiece import byte_letters
 
 CAPACITY, END_ID = 1024, 2
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE = 250_000
+LONG = 1 << 20
+# Fixed value: the split pattern that the vocabulary was made with.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
+class Encoder:
+    """Byte-level BPE ids as little-endian bytes.
 
-class WordEncoder:
-    """Byte-level BPE ids as little-endian bytes, by a cache of words.
-
-    The vocabulary's splitter never lets a token run over a single space between two non-spaces, so
-    text may be cut before each such space and every part encoded on its own.
+    The vocabulary file is the one of the tokenizer library; its pieces' ids are in the order of its
+    merges, so they serve as merge ranks, and a rank encoder gives the same ids some five times
+    faster. Tests hold the two against each other. Texts beyond LONG characters go to the library
+    itself, whose splitter has no backtracking limit.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}
-
-    def _fill(self, words: set[str]) -> None:
-        if len(self.spaced) + len(words) > CACHE:
-            self.spaced.clear()
-        sound = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        for w, e in zip(sound, self.model.encode_batch_fast([" " + w for w in sound], add_special_tokens=False), strict=True):
-            self.spaced[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        known = self.spaced
-        words: set[str] = set()
-        for p in parts:
-            words.update(p[1:])
-        words.difference_update(known)
-        if words:
-            self._fill(words)
-        out = []
-        for text, p in zip(texts, parts, strict=True):
-            head = p[0]
-            try:
-                if head and not head[-1].isspace() or len(p) == 1:
-                    out.append(self._whole(head) + b"".join([known[w] for w in p[1:]]))
-                    continue
-            except KeyError:
-                pass
-            first, *rest = _SAFE_SPACE.split(text)
-            out.append(self._whole(first) + b"".join([known[w] if w in known else self._whole(" " + w) for w in rest]))
-        return out
+        letter = {c: b for b, c in enumerate(byte_letters())}
+        pieces = json.loads(Path(path).read_text())["model"]["vocab"]
+        ranks = {bytes(letter[c] for c in piece): i for piece, i in pieces.items()}
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        if len(text) > LONG:
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
@@ -103,8 +83,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows, made = [], []
-                for row, ids in enumerate(encode.many([t or "" for t in part.column(1).to_pylist()])):
-                    view = memoryview(ids + end)
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    view = memoryview(encode(text or "") + end)
                     n = len(view) // 4
                     start, size, k = 0, (n - 1) % capacity + 1, 0
                     while start < n:
