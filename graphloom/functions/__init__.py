@@ -1 +1 @@
-
+"""Column functions and ranking operators."""

@@ -1 +1 @@
-
+"""Graph operators over directed edge tables."""

@@ -1 +1 @@
-
+"""Readers and writers: edge files, result files, tables."""

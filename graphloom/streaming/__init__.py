@@ -1 +1 @@
-
+"""Empty on purpose: a road hierarchy is built in batches, and there is no stream to read."""
