@@ -43,6 +43,8 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "sourc
     sketches = each.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     seen = cut(sketches.where(F.col("sites") >= min_sites * (1 - 4 * ERROR)))
     near = seen.where(F.col("sites") <= min_sites * (1 + 4 * ERROR)).select("a", "b")
+    # Few lines are near the threshold: sent to every task, they let the distinct rows combine before their shuffle.
+    near = F.broadcast(near) if near.count() * 32 <= BROADCAST_BYTES else near
     exact = each.join(near, ["a", "b"], "left_semi").distinct().groupBy("a", "b").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return seen.where(F.col("sites") > min_sites * (1 + 4 * ERROR)).select("a", "b").unionAll(exact.select("a", "b"))
 
