@@ -19,7 +19,7 @@ def _levels(num_levels: int) -> Column:
 
 def residue_components(edges: DataFrame, num_levels: int = 10, column: str = "promoted_level") -> DataFrame:
     """(level, node, component): weak components of the edges above each level; component is the least vertex."""
-    each = edges.select("source", "target", column, F.explode(_levels(num_levels)).alias("level")).where(F.col(column) > F.col("level"))
+    each = edges.select("source", "target", F.col(column).alias("_own"), F.explode(_levels(num_levels)).alias("level")).where("_own > level")
     coded = each.select(*[(F.col(c) * _BASE + F.col("level")).alias(c) for c in ("source", "target")])
     found = weak_components(coded)
     return found.select(F.pmod("node", F.lit(_BASE)).cast("int").alias("level"), F.floor(F.col("node") / _BASE).cast("long").alias("node"), F.floor(F.col("component") / _BASE).cast("long").alias("component"))

@@ -1,6 +1,418 @@
-"""Every registered query of the engine, with its SQL."""
+"""Every registered query of the engine, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom import schema
+from graphloom.functions import arrays
+from graphloom.functions.ranking import first_in_order, ordered, quantiles, ranked
+from graphloom.operators import checks
+from graphloom.operators.betweenness import edge_betweenness, sample_sources
+from graphloom.operators.components import component_sizes, largest_component, strong_components
+from graphloom.operators.fixpoint import cut, weak_components
+from graphloom.operators.label import border_nodes, catalog, label, label_legacy, residue_components, skeleton_vertices
+from graphloom.operators.levels import with_levels
+from graphloom.operators.paths import distances, path_edges
+from graphloom.operators.preprocess import clean, directed_edges
+from graphloom.operators.promote import connections, promote, promotion_summary
+from graphloom.operators.routing import random_pairs, route_quality, routes
+from graphloom.operators.update import in_components, load_results, touching, update_from, zip_pairs
+from graphloom.plans import oracles
+from graphloom.plans.hierarchy import Hierarchy, build_hierarchy
+from graphloom.plans.networks import streets, trade
+from graphloom.sources.edge_files import adjacency_text, directed, loaded_vertices, parse_edge_lines, read_results, write_results
+from graphloom.sources.tables import drop_temporary, insert, scan, temporary
+
+LEVELS = 10
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _plain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directed_edges(trade(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edge_betweenness(_plain_edges(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+def _levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(with_levels(cut(_scored(spark, sf_dir)), LEVELS))
+
+
+def _hierarchy(spark: SparkSession, sf_dir: str) -> Hierarchy:
+    return build_hierarchy(trade(spark, sf_dir), LEVELS, verify=False)
+
+
+# Scans, projections, sources and sinks
+
+
+@query
+def ways_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item's street, in the schema of streets; geometry stays empty."""
+    return schema.conform(streets(spark, sf_dir), schema.WAYS).select("gid", "source", "target", "cost", "reverse_cost")
+
+
+@query
+def trade_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade(spark, sf_dir)
+
+
+@query
+def directed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return directed_edges(streets(spark, sf_dir))
+
+
+@query
+def vertex_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded_vertices(streets(spark, sf_dir))
+
+
+@query
+def adjacency_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adjacency_text(_plain_edges(spark, sf_dir))
+
+
+@query
+def csv_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets as lines of four or five fields, by the reader's rules, as directed edges."""
+    lines = streets(spark, sf_dir).select(F.concat_ws(",", "gid", "source", "target", "cost", F.when(F.col("reverse_cost") >= 0, F.col("reverse_cost"))).alias("value"))
+    return directed(parse_edge_lines(lines))
+
+
+@query
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result file written to the shared folder and read again."""
+    import uuid
+
+    from graphloom.operators.fixpoint import cut as _cut
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    edges = _plain_edges(spark, sf_dir).withColumns({"betweenness": F.col("cost") / 8, "level": F.lit(3)})
+    path = f"{folder.rstrip('/')}/results-{uuid.uuid4().hex}"
+    write_results(edges, path, LEVELS)
+    return _cut(read_results(spark, path).withColumn("component", F.array_join("component", ",")))
+
+
+@query
+def inserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of both networks, inserted by name one after the other, through a temporary view."""
+    first = schema.conform(loaded_vertices(trade(spark, sf_dir)), schema.VERTICES)
+    temporary(insert(first, loaded_vertices(streets(spark, sf_dir))), "all_vertices")
+    out = spark.sql("SELECT id, count(*) AS n, max(size(component)) AS longest FROM all_vertices GROUP BY id")
+    out = out.select("id", "n", F.coalesce("longest", F.lit(0)).alias("longest"))
+    drop_temporary(spark, "all_vertices")
+    return out
+
+
+# Joins
+
+
+@query
+def semi_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed edges both of whose ends also start an edge."""
+    edges = directed_edges(streets(spark, sf_dir))
+    starts = edges.select("source").distinct()
+    return edges.join(starts, "source", "left_semi").join(starts.withColumnRenamed("source", "target"), "target", "left_semi").select("id", "source", "target", "cost")
+
+
+@query
+def updated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that take their cost, by id, from the cheaper direction of their street."""
+    edges = directed_edges(streets(spark, sf_dir))
+    return update_from(edges, edges.select("id", "cost"), ("id",), ("cost",))
+
+
+@query
+def loaded_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betweenness, level and component of a load table, taken into edges by three keys."""
+    edges = schema.conform(_plain_edges(spark, sf_dir), schema.EDGES)
+    vertices = schema.conform(edges.select(F.col("source").alias("id")).distinct(), schema.VERTICES)
+    results = edges.where("cost >= 12").select("id", "source", "target", (F.col("cost") * 2).alias("betweenness"), F.lit(4).alias("level"), F.array_repeat(F.lit(1), LEVELS).alias("component"))
+    new, _ = load_results(edges, vertices, results)
+    return new.select("id", "source", "target", "betweenness", "level", "promoted_level", F.size("component").alias("n_component"))
+
+
+@query
+def touched_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices on either end of a cheap edge: a disjunctive join as a semi-join on the union of ends."""
+    edges = directed_edges(streets(spark, sf_dir))
+    return touching(edges.select(F.explode(F.array("source", "target")).alias("id")).distinct(), edges.where("cost <= 2"))
+
+
+@query
+def member_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by the region of their nation, as members of components on either end."""
+    edges = _plain_edges(spark, sf_dir).select("id", "source", "target")
+    nations = scan(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") + 1_000_001).alias("node"), F.col("n_regionkey").alias("component"))
+    return in_components(edges, nations)
+
+
+@query
+def zipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The i-th supplier with the i-th nation."""
+    suppliers = scan(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1).alias("id"))
+    nations = scan(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") + 1_000_001).alias("id"))
+    return zip_pairs(suppliers, nations, ("id",)).select(F.col("place").cast("long").alias("place"), "source", "target")
+
+
+# Arrays
+
+
+@query
+def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of each source as a list: positions from 1, out of range as null, replaced, filled and spelt."""
+    lists = _plain_edges(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list("target")).alias("t"))
+    spelt = F.concat(F.lit("{"), F.array_join("t", ", "), F.lit("}"))
+    return lists.select(
+        "source",
+        F.size("t").cast("long").alias("n"),
+        arrays.at("t", 2).alias("second"),
+        F.array_join(arrays.put("t", 1, F.lit(0).cast("long")), ",").alias("replaced"),
+        F.array_join(arrays.filled(0, 3), ",").alias("zeros"),
+        arrays.brackets(spelt).alias("spelt"),
+        F.size(arrays.long_list(spelt)).cast("long").alias("parsed"),
+    )
+
+
+# Ranks, orders and quantiles
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 1000).cast("long").alias("v"))
+
+
+def _rank_query(method: str, descending: bool, num: int | None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: ranked(_orders(spark, sf_dir), "v", "o_orderkey", method, descending, num)
+
+
+for _method in ("average", "min", "max", "ordinal"):
+    QUERIES[f"rank_{_method}"] = _rank_query(_method, False, None)
+    QUERIES[f"rankhigh_{_method}"] = _rank_query(_method, True, None)
+    QUERIES[f"partial_rank_{_method}"] = _rank_query(_method, False, oracles.PARTIAL)
+    QUERIES[f"partial_rankhigh_{_method}"] = _rank_query(_method, True, oracles.PARTIAL)
+
+
+@query
+def order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered(_orders(spark, sf_dir), "v", "o_orderkey")
+
+
+@query
+def orderhigh_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered(_orders(spark, sf_dir), "v", "o_orderkey", descending=True)
+
+
+@query
+def order_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_in_order(_orders(spark, sf_dir), "v", "o_orderkey", oracles.PARTIAL)
+
+
+@query
+def orderhigh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_in_order(_orders(spark, sf_dir), "v", "o_orderkey", oracles.PARTIAL, descending=True)
+
+
+@query
+def quantile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = scan(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(quantiles("l_quantity", oracles.QUANTILES).alias("q"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    return q.select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(len(oracles.QUANTILES))], "least", "most")
+
+
+# Components
+
+
+@query
+def scc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strong_components(_plain_edges(spark, sf_dir).where("cost <= 13").select("source", "target"))
+
+
+@query
+def largest_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return largest_component(strong_components(directed_edges(streets(spark, sf_dir)).select("source", "target")))
+
+
+@query
+def cleaned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: directed edges of the largest strong component of all streets."""
+    return clean(streets(spark, sf_dir))[0].select("id", "source", "target", "cost", "level", "promoted_level")
+
+
+@query
+def cleaned_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(streets(spark, sf_dir))[1].select("id", F.size("component").alias("n_component"))
+
+
+@query
+def wcc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_components(directed_edges(streets(spark, sf_dir)))
+
+
+@query
+def wcc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the weak components of the cheapest edges."""
+    return component_sizes(weak_components(directed_edges(streets(spark, sf_dir)).where("cost <= 1")))
+
+
+# Paths, betweenness, levels
+
+
+@query
+def all_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _plain_edges(spark, sf_dir)
+    return distances(edges, edges.select(F.col("source").alias("id")).distinct())
+
+
+@query
+def sssp_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From supplier 1 to every street's end."""
+    return distances(directed_edges(streets(spark, sf_dir)), spark.createDataFrame([(1,)], "id long"))
+
+
+@query
+def path_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest path of every pair of vertices, edge by edge, summed up; its edges follow one another."""
+    edges = cut(_plain_edges(spark, sf_dir))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    asked = edges.select("source").distinct().crossJoin(F.broadcast(ends.agg(F.array_sort(F.collect_list("id")).alias("targets"))))  # one row of vertices, as many as sources
+    found = path_edges(edges, asked)
+    linked = F.array_sort(F.collect_list(F.struct("seq", "source", "target")))
+    steps = found.groupBy("start", "end").agg(F.sum("cost").alias("distance"), F.count("*").alias("hops"), linked.alias("p"))
+    sound = (F.col("p")[0]["source"] == F.col("start")) & (F.element_at("p", -1)["target"] == F.col("end")) & F.forall(F.sequence(F.lit(1), F.col("hops").cast("int")), lambda i: (i == 1) | (F.get("p", i - 1)["source"] == F.get("p", i - 2)["target"]))
+    return steps.select("start", "end", "distance", F.coalesce(sound, F.lit(False)).alias("sound"))
+
+
+@query
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+@query
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimate from a square root of all vertices; a sampling operator."""
+    edges = cut(_plain_edges(spark, sf_dir))
+    vertices = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return edge_betweenness(edges, sample_sources(vertices)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query
+def edge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levelled(spark, sf_dir).select("id", "source", "target", "betweenness", "level")
+
+
+@query
+def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levelled(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
+
+
+# Promotion, labels, routes, checks
+
+
+@query
+def connections_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connections(_levelled(spark, sf_dir), 1).select("source", F.array_join("targets", ",").alias("targets"))
+
+
+@query
+def promoted_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return promote(_levelled(spark, sf_dir), LEVELS).select("id", "source", "target", "level", "promoted_level")
+
+
+@query
+def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return promotion_summary(promote(_levelled(spark, sf_dir), LEVELS))
+
+
+@query
+def residue_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak components above each level, before promotion."""
+    return residue_components(_levelled(spark, sf_dir), LEVELS, "level")
+
+
+@query
+def skeleton_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton_vertices(_levelled(spark, sf_dir), LEVELS, "level")
+
+
+@query
+def component_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertex labels at each level, before promotion."""
+    edges = _levelled(spark, sf_dir)
+    vertices = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return label(edges, vertices, LEVELS)[1].select("id", F.array_join("component", ",").alias("component"))
+
+
+@query
+def edge_component_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _levelled(spark, sf_dir)
+    vertices = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return label(edges, vertices, LEVELS)[0].select("id", "source", "target", F.array_join("component", ",").alias("component"))
+
+
+@query
+def legacy_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _levelled(spark, sf_dir)
+    vertices = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return label_legacy(edges.withColumn("component", F.array().cast("array<int>")), vertices.withColumn("component", F.array().cast("array<int>")), LEVELS)[1].select("id", F.array_join("component", ",").alias("component"))
+
+
+@query
+def component_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog(_levelled(spark, sf_dir), LEVELS)
+
+
+@query
+def boundary_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return border_nodes(_levelled(spark, sf_dir), LEVELS)
+
+
+@query
+def hierarchy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build, from streets to labels."""
+    built = _hierarchy(spark, sf_dir)
+    return built.edges.select("id", "source", "target", "cost", "betweenness", "level", "promoted_level", F.array_join("component", ",").alias("component"))
+
+
+@query
+def assert_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.skeleton_strongly_connected(_hierarchy(spark, sf_dir).edges, LEVELS)
+
+
+@query
+def assert_comp_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.skeleton_comp_id(_hierarchy(spark, sf_dir).edges, LEVELS)
+
+
+@query
+def assert_edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.edge_count(_hierarchy(spark, sf_dir).edges, LEVELS)
+
+
+@query
+def assert_vertex_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.vertex_count(_hierarchy(spark, sf_dir).vertices, LEVELS)
+
+
+@query
+def hier_route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of randomly drawn pairs at every level; a sampling operator."""
+    built = _hierarchy(spark, sf_dir)
+    pairs = random_pairs(built.vertices, 20, seed=1)
+    return routes(built.edges, built.vertices, pairs, list(range(1, LEVELS + 1)), LEVELS).drop("graph_build_time", "avg_computation_time")
+
+
+@query
+def hier_route_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = _hierarchy(spark, sf_dir)
+    return route_quality(cut(routes(built.edges, built.vertices, random_pairs(built.vertices, 20, seed=1), list(range(1, LEVELS + 1)), LEVELS)), LEVELS)
+
+
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
