@@ -44,7 +44,9 @@ def strong_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataF
     vertices that reach their colour back, within it, are its component and leave the graph. What is
     left then, or from the start, is searched in one task of bounded size.
     """
-    ends = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
+    ends = cut(edges.select(F.col("source").alias("u"), F.col("target").alias("v")))
+    if ends.count() <= one_task:
+        return ends.coalesce(1).mapInArrow(_tarjan, "node long, component long")
     live = cut(ends.where("u <> v").distinct())
     found = cut(ends.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     done = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ def distances(edges: DataFrame, starts: DataFrame, broadcast_edges: int = BROADC
     starts = starts.select("id").distinct()
     known = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     starts = starts.join(known, "id", "left_semi")
-    if edges.count() > broadcast_edges:
+    shared = shared_graph(edges, broadcast_edges)
+    if shared is None:
         return distances_by_joins(edges, starts)
-    shared = edges.sparkSession.sparkContext.broadcast(Graph.collect(edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
@@ -48,16 +49,24 @@ def distances(edges: DataFrame, starts: DataFrame, broadcast_edges: int = BROADC
     return starts.mapInArrow(run, "start long, node long, distance double")
 
 
-def path_edges(edges: DataFrame, connections: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def shared_graph(edges: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> Broadcast | None:
+    """The graph as broadcast arrays, or None if it has more edges than that."""
+    edges = cut(edges.select("id", "source", "target", "cost"))
+    if edges.count() > broadcast_edges:
+        return None
+    return edges.sparkSession.sparkContext.broadcast(Graph.collect(edges))
+
+
+def path_edges(edges: DataFrame, connections: DataFrame, broadcast_edges: int = BROADCAST_EDGES, graph: Broadcast | None = None) -> DataFrame:
     """(start, end, seq, id, source, target, cost): the edges of one shortest path for each target of connections (source, targets).
 
     Among shortest paths, each vertex is entered from the predecessor of least id, by the edge of
-    least id. A path of no edges has no rows, and there is no row for an unreachable target.
+    least id. A path of no edges has no rows, and there is no row for an unreachable target. ``graph``
+    spares the edges' collection where many calls share them.
     """
-    edges = cut(edges.select("id", "source", "target", "cost"))
-    if edges.count() > broadcast_edges:
-        return _paths_by_joins(edges, connections)
-    shared = edges.sparkSession.sparkContext.broadcast(Graph.collect(edges))
+    shared = graph or shared_graph(edges, broadcast_edges)
+    if shared is None:
+        return _paths_by_joins(cut(edges.select("id", "source", "target", "cost")), connections)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import logging
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import strong_components
 from graphloom.operators.csr import BROADCAST_EDGES
 from graphloom.operators.fixpoint import cut
-from graphloom.operators.paths import path_edges
+from graphloom.operators.paths import path_edges, shared_graph
 
 log = logging.getLogger(__name__)
 
@@ -37,12 +38,12 @@ def connections(edges: DataFrame, level: int) -> DataFrame:
     return pairs.groupBy("source").agg(F.array_sort(F.collect_list("target")).alias("targets"))
 
 
-def promote_level(edges: DataFrame, level: int, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def promote_level(edges: DataFrame, level: int, broadcast_edges: int = BROADCAST_EDGES, graph: Broadcast | None = None) -> DataFrame:
     """edges whose ids lie on the connecting paths, both directions of a street, get promoted_level = level if theirs is higher."""
     links = cut(connections(edges, level))
     if links.isEmpty():
         return edges
-    found = path_edges(edges, links, broadcast_edges).select("id").distinct().withColumn("_hit", F.lit(True))
+    found = path_edges(edges, links, broadcast_edges, graph).select("id").distinct().withColumn("_hit", F.lit(True))
     raised = F.when(F.col("_hit") & (F.col("promoted_level") > level), level).otherwise(F.col("promoted_level")).cast("int")
     out = cut(edges.join(found, "id", "left").withColumn("promoted_level", raised).select(*edges.columns))
     log.info("level %d is connected", level)
@@ -52,8 +53,9 @@ def promote_level(edges: DataFrame, level: int, broadcast_edges: int = BROADCAST
 def promote(edges: DataFrame, num_levels: int = 10, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """All levels from the highest on, as each starts from what the last promoted."""
     edges = cut(edges)
+    graph = shared_graph(edges, broadcast_edges)  # paths run on all edges, which no level changes
     for level in range(1, num_levels + 1):
-        edges = promote_level(edges, level, broadcast_edges)
+        edges = promote_level(edges, level, broadcast_edges, graph)
     return edges
 
 
