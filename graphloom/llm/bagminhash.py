@@ -228,7 +228,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     units = block_pairs(in_bucket, "bucket", F.col("node"), F.ceil(F.col("members") / BLOCK_ROWS))
     maybe = _in_units(units, "bucket", _maybe_alike, "node", "total", "sketch")
     clusters = cut(weak_components(maybe.where("source <> target")))
-    load = clusters.join(nodes.select("node", "total"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("total") / BLOCK_SHINGLES)).alias("parts"))
+    # A written side lets the planner split the join where one cluster is large.
+    load = cut(clusters.join(nodes.select("node", "total"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("total") / BLOCK_SHINGLES)).alias("parts")))
     placed = clusters.join(load, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts")
     seen = placed.select("doc_id")
     # The ids alone go to every task while they are few; else the join deals out the texts.

@@ -47,6 +47,7 @@ def prefix_index(docs_words: DataFrame, windows: DataFrame, broadcast: bool) ->
     vocabulary = windows.select(F.explode("window").alias("token")).distinct()
     spread = docs_words.select(F.explode("w").alias("token")).join(F.broadcast(vocabulary) if broadcast else vocabulary, "token", "left_semi")
     often = spread.groupBy("token").agg(F.count("*").alias("n"))
+    often = F.broadcast(often) if broadcast else often  # no more words than the windows have
     ranked = windows.select("window", "items", F.explode(F.array_distinct("window")).alias("token")).join(often, "token", "left")
     rarest = ranked.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"), F.first("items").alias("items"))
     return rarest.select("token", (F.array_position("window", F.col("token")) - 1).cast("int").alias("at"), "window", "items")

@@ -31,7 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op1_chat_turns": op1_chat_turns,
     "op2_prefix_decontamination": decontamination.ORACLE,
     "op7_line_spread": lines.ORACLE,
 }

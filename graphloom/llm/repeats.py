@@ -175,7 +175,8 @@ def struck_rows(docs: DataFrame, length: int = 50, base: int | None = None) -> t
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     shape = "doc_id long, row_hash long, n_words long, sha string, w1 long, w2 long, anchors array<long>"
     profiles = cut(rows.mapInArrow(_profile(length, base), shape))
-    least = profiles.where(F.col("n_words") >= length).groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
+    # A written side lets the planner split the join where many rows are copies of one.
+    least = cut(profiles.where(F.col("n_words") >= length).groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     marked = profiles.join(least, ["w1", "w2"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
     own = marked.where("not copy and doc_id is not null").select("doc_id", "row_hash", F.explode("anchors").alias("anchor"))
     alive = own.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
