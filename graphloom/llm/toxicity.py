@@ -31,10 +31,14 @@ from graphloom.llm.store import table
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 4000
 WINDOW, STRIDE = 128, 64
 EPOCHS, RATE, BATCH = 6, 0.01, 64
+#: The hashed tables move this many times as fast.
+TABLE_RATE = 3.0
 #: A small sample is read over more often, until the weights have moved this many times.
-LEAST_TURNS = 300
+LEAST_TURNS = 150
 #: Embedding width, hidden units of a direction, rows of the two hashed tables.
-WIDTH, HIDDEN, WORD_ROWS, GRAM_ROWS = 16, 8, 1 << 14, 1 << 14
+WIDTH, HIDDEN, WORD_ROWS, GRAM_ROWS = 16, 8, 1 << 17, 1 << 17
+#: Words and n-grams of fewer texts of the sample say nothing, and their rows stay zero.
+LEAST_TEXTS = 5
 GRAMS = (3, 4, 5)
 
 LETTERS = byte_class(b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
@@ -62,7 +66,7 @@ class Network:
     def fresh(seed: int = 7) -> Network:
         g = np.random.default_rng(seed)
         f = lambda *shape, by=0.1: (g.standard_normal(shape) * by).astype(np.float32)
-        return Network(f(WORD_ROWS, WIDTH), f(GRAM_ROWS, WIDTH), f(2, WIDTH, 3 * HIDDEN, by=0.5), np.zeros((2, 3 * HIDDEN), np.float32), f(2, HIDDEN, 3 * HIDDEN, by=0.3), f(2 * HIDDEN), f(2 * HIDDEN, by=0.5), np.zeros(1, np.float32), np.full(1, 0.1, np.float32))
+        return Network(np.zeros((WORD_ROWS, WIDTH), np.float32), f(GRAM_ROWS, WIDTH, by=0.03), f(2, WIDTH, 3 * HIDDEN, by=0.5), np.zeros((2, 3 * HIDDEN), np.float32), f(2, HIDDEN, 3 * HIDDEN, by=0.3), f(2 * HIDDEN), f(2 * HIDDEN, by=0.5), np.zeros(1, np.float32), np.full(1, 0.1, np.float32))
 
 
 @dataclass
@@ -203,6 +207,18 @@ class Pass:
         return grad
 
 
+def _known_rows(column: pa.Array) -> dict[str, np.ndarray]:
+    """Which rows of the two tables LEAST_TEXTS texts or more touch."""
+    seen = {"words": np.zeros(WORD_ROWS, np.int32), "grams": np.zeros(GRAM_ROWS, np.int32)}
+    for row in range(len(column)):
+        ((_, _, words),) = column_words(column.slice(row, 1), LETTERS, lower=True, limit=1 << 40)
+        if len(words.starts):
+            inputs = Inputs.of(words)
+            seen["words"][np.unique(inputs.word_row)] += 1
+            seen["grams"][np.unique(inputs.gram_row)] += 1
+    return {name: n >= LEAST_TEXTS for name, n in seen.items()}
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Adam over mini-batches of texts; each text's loss is that of its worst window, and classes weigh alike."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
@@ -210,9 +226,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     net.share[0] = min(float(labels.mean()), 0.49) if len(labels) else 0.1
     if not len(labels) or labels.min() == labels.max():
         return net
-    moments: dict[str, list] = {f.name: [np.zeros_like(getattr(net, f.name)), np.zeros_like(getattr(net, f.name))] for f in fields(Network)}
+    dense = [f.name for f in fields(Network) if f.name not in ("words", "grams", "share")]
+    moments: dict[str, list] = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in dense} | {"words": [0.0], "grams": [0.0]}
     cost = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     column = pa.array(texts, pa.string())
+    known = _known_rows(column)
+    net.grams[~known["grams"]] = 0
     a_round = -(-len(texts) // BATCH)
     epochs = max(epochs, -(-LEAST_TURNS // a_round))
     turn, turns = 0, epochs * a_round
@@ -238,13 +257,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             n_grams = np.diff(inputs.gram_first)
             sparse = {"words": (inputs.word_row, learn.by_x), "grams": (inputs.gram_row, np.repeat(learn.by_x / n_grams[:, None].astype(np.float32), n_grams, axis=0))}
             for name, (rows, g) in sparse.items():
-                place, inverse = np.unique(rows, return_inverse=True)
+                taught = known[name][rows]
+                place, inverse = np.unique(rows[taught], return_inverse=True)
                 sums = np.zeros((len(place), WIDTH), np.float32)
-                np.add.at(sums, inverse.reshape(-1), g)
-                m, v = moments[name]
-                m[place] = 0.9 * m[place] + 0.1 * sums
-                v[place] = 0.99 * v[place] + 0.01 * sums * sums
-                getattr(net, name)[place] -= step * m[place] / (np.sqrt(v[place]) + 1e-6)
+                np.add.at(sums, inverse.reshape(-1), g[taught])
+                # One scale for a whole table: words of many texts, whose slopes agree, learn faster than chance ones.
+                size = moments[name]
+                size[0] += 0.05 * (float((sums * sums).mean()) - size[0]) if len(sums) else 0.0
+                getattr(net, name)[place] -= TABLE_RATE * step * sums / (size[0] ** 0.5 + 1e-9)
             for name, g in grad.items():
                 m, v = moments[name]
                 m += 0.1 * (g - m)
@@ -277,8 +297,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: i
 def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
     found = sample(docs, labels).collect()  # at most 2 * SAMPLE_ROWS rows of SAMPLE_CHARS characters
     net = train([r["text"] for r in found], np.array([r["toxic"] for r in found], np.int64), epochs)
-    counts = labels.where(F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"))).agg(F.avg("toxic").alias("share")).first()["share"]
-    net.share[0] = min(0.49, counts or 0.0)
+    share = labels.where(F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"))).agg(F.avg("toxic").alias("share")).first()["share"]
+    net.share[0] = min(0.49, share or 0.0)
+    if share and share < 1:  # classes weighed alike in training; scores take the labels' own share as prior
+        net.offset[0] += np.log(share / (1 - share))
     return net
 
 
