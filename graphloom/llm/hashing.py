@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows are handled together up to this many bytes; a longer row is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
