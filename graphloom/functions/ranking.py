@@ -1,8 +1,9 @@
 """Orders, ranks and quantiles of a column.
 
-Orders break ties by ``key``. Over a whole table, ranks by value need no global sort: values are
-first counted, so the ordered window runs over distinct values, each with the rows below it; only
-orders among tied rows need a window within one value. ``by`` makes groups of their own.
+Orders break ties by ``key``. No ordered window runs over a whole table: ranks by value first count
+the values and number what is counted, and orders number the rows, both by range-partitioned sorts
+whose partitions' sizes are added up. ``by`` makes groups of their own, also without a task for
+each, as a group's places are the places over all groups less those before it.
 """
 
 from __future__ import annotations
@@ -12,20 +13,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.fixpoint import cut, numbered
+
 METHODS = ("average", "min", "max", "ordinal")
 
 
-def _places(df: DataFrame, value: str, descending: bool, by: Sequence[str]) -> DataFrame:
-    """(by, value, _n, _below): how many rows have the value and how many come before it."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    return counts.withColumn("_below", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def _order(value: str, descending: bool, by: Sequence[str]) -> list[Column]:
+    return [F.col(b).asc() for b in by] + [F.col(value).desc() if descending else F.col(value).asc()]
+
 
+def _match(df: DataFrame, other: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
+    """df with columns of other, by keys whose nulls are equal; without keys other has one row."""
+    renamed = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
+    if not keys:
+        return df.crossJoin(F.broadcast(renamed))
+    return df.join(renamed, [df[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)]).drop(*[f"_k{i}" for i in range(len(keys))])
 
-def _joined(df: DataFrame, places: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = places.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_below")
-    on = [df[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)]
-    return df.join(renamed, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+def _below(df: DataFrame, value: str, descending: bool, by: Sequence[str]) -> DataFrame:
+    """(by, value, _n, _below): how many rows have the value and how many of its group come before it."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    order = _order(value, descending, by)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(counts.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("_part").agg(F.sum("_n").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))  # a row a partition
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = rows.withColumn("_in", inside).join(F.broadcast(bases), "_part").withColumn("_below", F.col("_base") + F.col("_in")).drop("_part", "_base", "_in")
+    if not by:
+        return found
+    found = cut(found)
+    first = found.groupBy(*by).agg(F.min("_below").alias("_first"))
+    return _match(found, first, by, "_first").withColumn("_below", F.col("_below") - F.col("_first")).drop("_first")
 
 
 def ranked(df: DataFrame, value: str, key: str, method: str = "average", descending: bool = False, num: int | None = None, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -34,19 +53,24 @@ def ranked(df: DataFrame, value: str, key: str, method: str = "average", descend
     With ``num``, rows beyond the first num get 0, and ties are cut there: average and max look at
     the tied rows among the first num alone. Ranks are doubles.
     """
-    df_ = _joined(df, _places(df, value, descending, by), [*by, value])
-    low, high = F.col("_below"), F.col("_below") + F.col("_n")
-    place = None
-    if num is not None or method not in ("average", "min", "max"):
-        place = F.col("_below") + F.row_number().over(Window.partitionBy(*by, value).orderBy(key))
-        df_ = df_.withColumn("_place", place)
-    if num is not None:
-        high = F.least(high, F.lit(num))
-    rank = {"min": low + 1, "max": high, "average": (low + 1 + high) / 2}.get(method, F.col("_place") if place is not None else None)
+    placed = num is not None or method not in ("average", "min", "max")
+    if placed:
+        df = cut(numbered(df, [*_order(value, descending, by), F.col(key).asc()], "_place"))
+        if by:
+            first = df.groupBy(*by).agg((F.min("_place") - 1).alias("_first"))
+            df = _match(df, first, by, "_first").withColumn("_place", F.col("_place") - F.col("_first")).drop("_first")
+    if method in ("average", "min", "max"):
+        df = _match(df, _below(df, value, descending, by), [*by, value], "_n", "_below")
+        low, high = F.col("_below"), F.col("_below") + F.col("_n")
+        if num is not None:
+            high = F.least(high, F.lit(num))
+        rank = {"min": low + 1, "max": high, "average": (low + 1 + high) / 2}[method]
+    else:
+        rank = F.col("_place")
     rank = rank.cast("double")
     if num is not None:
         rank = F.when(F.col("_place") <= num, rank).otherwise(0.0)
-    return df_.withColumn(name, rank).drop("_n", "_below", "_place")
+    return df.withColumn(name, rank).drop("_n", "_below", "_place")
 
 
 def ordered(df: DataFrame, value: str, key: str, descending: bool = False, by: Sequence[str] = (), name: str = "position") -> DataFrame:

@@ -1,13 +1,13 @@
-"""Lineage cuts for iterative plans, and weak components by repeated contraction."""
+"""Lineage cuts for iterative plans, distributed row numbers, and weak components by repeated contraction."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """df with each row's place from 1 in the order, by a range-partitioned sort: no task holds more than a range of rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a partition
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_nth", nth).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_nth")).drop("_part", "_base", "_nth")
+
+
 #: A graph that has shrunk to this many edges is finished by one task, in some 100 MB.
 ONE_TASK_EDGES = 1 << 20
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import logging
 
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import strong_components
 from graphloom.operators.csr import BROADCAST_EDGES
-from graphloom.operators.fixpoint import cut
+from graphloom.operators.fixpoint import cut, numbered
 from graphloom.operators.paths import path_edges, shared_graph
 
 log = logging.getLogger(__name__)
@@ -28,12 +28,13 @@ def connections(edges: DataFrame, level: int) -> DataFrame:
     """(source, targets): from the least vertex of each strong component of the skeleton to that of the next, in a circle.
 
     k components give k connections, one gives none. If paths join every pair, the skeleton is one
-    component. The window runs over the components' representatives, not over vertices.
+    component.
     """
     reps = cut(strong_components(skeleton(edges, level).select("source", "target")).select("component").distinct())
-    in_order = Window.orderBy("component")
+    placed = cut(numbered(reps, [F.col("component").asc()]))
+    follow = placed.select((F.col("place") - 1).alias("place"), F.col("component").alias("next"))
     least = reps.agg(F.min("component").alias("first"))
-    circle = reps.withColumn("next", F.lead("component").over(in_order)).crossJoin(F.broadcast(least))
+    circle = placed.join(follow, "place", "left").crossJoin(F.broadcast(least))
     pairs = circle.select(F.col("component").alias("source"), F.coalesce("next", "first").alias("target")).where("source <> target")
     return pairs.groupBy("source").agg(F.array_sort(F.collect_list("target")).alias("targets"))
 

@@ -103,6 +103,18 @@ def test_null_values_are_ranked_among_themselves(spark):
     assert {r.k: r["rank"] for r in ranked(rows, "v", "k", "min").collect()} == {1: 1.0, 2: 1.0, 3: 3.0}
 
 
+def test_ranks_in_groups(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0), (2, "a", 1.0), (3, "b", 9.0), (4, None, 5.0), (5, "a", 2.0), (6, None, 4.0)], "k long, g string, v double")
+    ranks = lambda m, **kw: {r.k: r["rank"] for r in ranked(rows, "v", "k", m, by=("g",), **kw).collect()}
+    assert ranks("average") == {1: 2.5, 2: 1, 3: 1, 4: 2, 5: 2.5, 6: 1}
+    assert ranks("ordinal", descending=True) == {1: 1, 2: 3, 3: 1, 4: 1, 5: 2, 6: 2}
+    assert ranks("max", num=2) == {1: 2, 2: 1, 3: 1, 4: 2, 5: 0, 6: 1}
+
+
+def test_ranks_of_nothing(spark):
+    assert ranked(frame(spark, [1.0]).where("false"), "v", "k", "average", num=3).isEmpty()
+
+
 def test_quantiles(spark):
     q = frame(spark, [1.0, 2.0, 4.0, 8.0, 16.0]).agg(quantiles("v", [-1, 0.1, 0.25, 0.9, 2]).alias("q")).first().q
     assert q == pytest.approx([1, 1.4, 2, 12.8, 16])
