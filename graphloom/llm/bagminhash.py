@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.groups import Forest, block_pairs, whole_groups
 from graphloom.llm.hashing import SPACED, Words, column_words, mix
-from graphloom.llm.store import BROADCAST_BYTES, cut, table
+from graphloom.llm.store import BROADCAST_BYTES, cut, small_batches, table
 from graphloom.operators.fixpoint import weak_components
 
 SHINGLE = 5
@@ -124,7 +124,7 @@ def _points(out: np.ndarray, row: np.ndarray, item: np.ndarray, count: np.ndarra
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, t1, t2, text) to the shingle total, the bands' bucket hashes and one byte for each component."""
     for batch in batches:
-        for row, stop, words in column_words(batch.column(3), SPACED):
+        for row, stop, words in column_words(batch.column(3), SPACED, limit=1 << 19):
             part, n = batch.slice(row, stop - row), stop - row
             of, item, count = multisets(words)
             times = sketch(of, item, count, n)
@@ -216,7 +216,7 @@ def _in_units(df: DataFrame, key: str, run, *columns: str) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_shingles) per row; class_id is the least doc_id of the class."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
     known = rows.where("doc_id is not null")
     features = known.mapInArrow(_features, "doc_id long, t1 long, t2 long, total long, bands array<long>, sketch binary")
     nodes = cut(features.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("total").alias("total"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))

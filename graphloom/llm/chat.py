@@ -80,7 +80,7 @@ def fit(pieces: DataFrame) -> Model:
     lines = known.select("role", F.posexplode("codes").alias("at", "code")).groupBy("role", (F.col("at") > 0).alias("goes_on"), "code").count()
     sizes = known.groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.size("codes") > 1).alias("longer"), F.sum(F.size("codes")).alias("lines"))
     opens = known.select("conv_id", "place", "role").distinct()
-    after = opens.select("conv_id", (F.col("place") + 1).alias("place"), F.col("role").alias("before"))
+    after = opens.select("conv_id", F.try_add("place", F.lit(1)).alias("place"), F.col("role").alias("before"))
     pairs = opens.join(after, ["conv_id", "place"], "left").groupBy("before", "role").count()
     index = {r: i for i, r in enumerate(ROLES)}
     counts = np.zeros((STATES, *SIZES))

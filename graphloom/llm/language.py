@@ -6,8 +6,9 @@ suffix, from soft counts over all pages; and a host prior. The prior is smoothed
 host leans on its domain, a domain on the whole corpus, by KAPPA pseudo-pages each, and a page's own
 vote is taken out of its host's counts. Votes are whole millionths, so sums do not depend on order.
 
-The text model is fitted on a bounded sample: the SAMPLE_ROWS documents of each language of at most
-SAMPLE_CHARS characters that come first by a hash of doc_id. All counts cover all pages.
+The text model is fitted on a bounded sample: of the LANGUAGES most frequent languages, the
+SAMPLE_ROWS documents of at most SAMPLE_CHARS characters that come first by a hash of doc_id. All
+counts cover all pages.
 
 Defined results: a null or empty html has no text and no declared language, a null or odd url an
 empty host; repeated rows count and are returned each; ties go to the first language in order of
@@ -23,13 +24,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.store import cut, table
+from graphloom.llm.store import cut, small_batches, table
 
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 4000
+#: The bound of the sample that the text model is fitted on: languages, rows of each, characters of a row.
+LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 400, 4000
 BUCKETS = 1 << 16
 #: The text counts as at most this many independent n-grams.
 TEMPER = 60.0
@@ -70,15 +72,20 @@ def fit_text(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, text) of the bounded sample; languages are few, and each takes part on its own."""
-    from pyspark.sql import Window
-
-    fits = docs.where("lang is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS).select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h"))
-    # only rows with a small hash can be among the first; a language with fewer rows than asked for keeps them all
-    share = fits.groupBy("lang").agg(F.count("*").alias("n"))
-    near = fits.join(F.broadcast(share.limit(1000)), "lang").where((F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.lit(3.0 * SAMPLE_ROWS) / F.col("n")) | (F.col("n") <= 3 * SAMPLE_ROWS))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    return near.withColumn("nth", first).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "text")
+    """(lang, text) of the bounded sample: SAMPLE_ROWS documents of each of the LANGUAGES most frequent languages.
+
+    Ids are picked first, among those whose hash is small enough to be of the first; texts are then
+    read where they lie.
+    """
+    fits = docs.where("lang is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS)
+    slim = fits.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    share = slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    near = slim.join(F.broadcast(share), "lang").where((F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.lit(3.0 * SAMPLE_ROWS) / F.col("n")) | (F.col("n") <= 3 * SAMPLE_ROWS))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))
+    picked = near.withColumn("nth", first).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "doc_id", "t").distinct()
+    texts = fits.select("lang", "doc_id", F.xxhash64("text").alias("t"), "text")
+    same = [texts["lang"] == picked["lang"], texts["doc_id"].eqNullSafe(picked["doc_id"]), texts["t"] == picked["t"]]
+    return texts.join(F.broadcast(picked), same, "left_semi").dropDuplicates(["lang", "doc_id", "t"]).orderBy("lang", "doc_id", "t").select("lang", "text")
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:
@@ -108,12 +115,12 @@ def page_evidence(pages: DataFrame, names: list[str], model: np.ndarray) -> Data
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array([declared(h) for h in pages], pa.string()), lists], names=[f.name for f in fields])
 
     host, domain, suffix = address(F.col("url"))
-    return pages.select("page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), "html").mapInArrow(run, T.StructType(fields))
+    return small_batches(pages).select("page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), "html").mapInArrow(run, T.StructType(fields))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """(page_id, lang, posterior, text_lang, declared, host) per row of pages."""
-    names, model = fit_text([(r["lang"], r["text"]) for r in sample(docs).collect()])  # at most SAMPLE_ROWS a language
+    names, model = fit_text([(r["lang"], r["text"]) for r in sample(docs).collect()])  # at most LANGUAGES * SAMPLE_ROWS rows of SAMPLE_CHARS characters
     if not names:
         host, _, _ = address(F.col("url"))
         none = F.lit(None).cast("string")

@@ -18,6 +18,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.store import cut, table
+from graphloom.llm.store import cut, small_batches, table
 from graphloom.llm.wordpiece import byte_letters
 
 CAPACITY, END_ID = 1024, 2
+#: Characters beyond which a text goes to the tokenizer library.
 LONG = 1 << 20
 # Fixed value: the split pattern that the vocabulary was made with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,18 +48,25 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.path = path
         letter = {c: b for b, c in enumerate(byte_letters())}
         pieces = json.loads(Path(path).read_text())["model"]["vocab"]
         ranks = {bytes(letter[c] for c in piece): i for piece, i in pieces.items()}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        """Loaded only where a text asks for it, as it takes some 100 MB."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = True
+        return model
+
     def __call__(self, text: str) -> bytes:
         if len(text) > LONG:
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
@@ -96,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:

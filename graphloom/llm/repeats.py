@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.hashing import SPACED, Words, column_words, ranges_hash
-from graphloom.llm.store import BROADCAST_BYTES, cut, table
+from graphloom.llm.store import BROADCAST_BYTES, cut, small_batches, table
 
 #: Two bases give the 128 bits of the last level.
 BASES = (0xD1342543DE82EF95, 0xA0761D6478BD642F)
@@ -172,7 +172,7 @@ def struck_rows(docs: DataFrame, length: int = 50, base: int | None = None) -> t
     for the other rows that lose words; rows that are in neither way hit keep every word.
     """
     base = base or max(1, length // 2)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     shape = "doc_id long, row_hash long, n_words long, sha string, w1 long, w2 long, anchors array<long>"
     profiles = cut(rows.mapInArrow(_profile(length, base), shape))
     # A written side lets the planner split the join where many rows are copies of one.

@@ -25,6 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch lies in memory on both sides at once.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches have been bounded by BATCH_ROWS; a smaller setting stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+        conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from graphloom.llm.store import small_batches
+
 # Fixed values of the TIFF 6.0 format: tags, compression schemes, field types and their sizes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
@@ -368,7 +370,7 @@ def store_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 )
 
     kind = docs.schema[key].dataType
-    return docs.select(key, text).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+    return small_batches(docs).select(key, text).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
 PAGE_FIELDS = [

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.hashing import Words, byte_class, column_words, mix, ranges_hash
-from graphloom.llm.store import table
+from graphloom.llm.store import small_batches, table
 
 #: The bound of the sample that the model is fitted on: rows of each label, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 4000
@@ -40,6 +40,8 @@ WIDTH, HIDDEN, WORD_ROWS, GRAM_ROWS = 16, 8, 1 << 17, 1 << 17
 #: Words and n-grams of fewer texts of the sample say nothing, and their rows stay zero.
 LEAST_TEXTS = 5
 GRAMS = (3, 4, 5)
+#: Distinct words whose n-grams are looked up together, and bytes of text scored together.
+VECTOR_ROWS, SCORE_BYTES = 8192, 1 << 19
 
 LETTERS = byte_class(b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
 
@@ -104,8 +106,14 @@ class Inputs:
     def vectors(self, net: Network) -> np.ndarray:
         if not len(self.word_row):
             return np.zeros((0, WIDTH), np.float32)
-        sums = np.add.reduceat(net.grams[self.gram_row], self.gram_first[:-1], axis=0)
-        return net.words[self.word_row] + sums / np.diff(self.gram_first)[:, None].astype(np.float32)
+        out = net.words[self.word_row]
+        first = self.gram_first
+        for at in range(0, len(out), VECTOR_ROWS):
+            stop = min(at + VECTOR_ROWS, len(out))
+            grams = net.grams[self.gram_row[first[at] : first[stop]]]
+            sums = np.add.reduceat(grams, first[at:stop] - first[at], axis=0)
+            out[at:stop] += sums / np.diff(first[at : stop + 1])[:, None].astype(np.float32)
+        return out
 
 
 def windows(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,12 +320,12 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            for row, stop, words in column_words(batch.column(2), LETTERS, lower=True, limit=1 << 20):
+            for row, stop, words in column_words(batch.column(2), LETTERS, lower=True, limit=SCORE_BYTES):
                 score = score_words(net, words)
                 part = batch.slice(row, stop - row)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, net: Network) -> DataFrame:
@@ -328,10 +336,10 @@ def drop_toxic(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            for row, stop, words in column_words(batch.column(at), LETTERS, lower=True, limit=1 << 20):
+            for row, stop, words in column_words(batch.column(at), LETTERS, lower=True, limit=SCORE_BYTES):
                 yield batch.slice(row, stop - row).filter(pa.array(score_words(net, words) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from graphloom.llm.store import table
+from graphloom.llm.store import small_batches, table
 
 #: Entries of a worker's cache of counted words; it is emptied when full.
 CACHE = 400_000
@@ -143,7 +143,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
                 longest.append(max(counts, default=0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words_, pa.int64()), pa.array(tokens, pa.int64()), pa.array(longest, pa.int64())], names=[key, "n_words", "n_tokens", "n_longest"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return small_batches(docs).select(key, text).mapInArrow(run, schema)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
