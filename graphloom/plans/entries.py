@@ -13,7 +13,7 @@ from graphloom.functions.ranking import first_in_order, ordered, quantiles, rank
 from graphloom.operators import checks
 from graphloom.operators.betweenness import edge_betweenness, sample_sources
 from graphloom.operators.components import component_sizes, largest_component, strong_components
-from graphloom.operators.fixpoint import cut, weak_components
+from graphloom.operators.fixpoint import cut, numbered, weak_components
 from graphloom.operators.label import border_nodes, catalog, label, label_legacy, residue_components, skeleton_vertices
 from graphloom.operators.levels import with_levels
 from graphloom.operators.paths import distances, path_edges
@@ -81,6 +81,18 @@ def adjacency_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjacency_text(_plain_edges(spark, sf_dir))
 
 
+@query
+def edge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed edges with a dense index from 0, in order of id and ends."""
+    return numbered(directed_edges(streets(spark, sf_dir)), [F.col(c) for c in ("id", "source", "target")]).select("id", "source", "target", (F.col("place") - 1).alias("idx"))
+
+
+@query
+def vertex_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vertex with its dense code."""
+    return numbered(loaded_vertices(streets(spark, sf_dir)), [F.col("id")]).select("id", (F.col("place") - 1).alias("idx"))
+
+
 @query
 def csv_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets as lines of four or five fields, by the reader's rules, as directed edges."""
@@ -401,6 +413,46 @@ def assert_vertex_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.vertex_count(_hierarchy(spark, sf_dir).vertices, LEVELS)
 
 
+@query
+def assert_promoted_not_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.promoted_not_above(_hierarchy(spark, sf_dir).edges)
+
+
+@query
+def assert_skeletons_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.skeletons_nested(_hierarchy(spark, sf_dir).edges, LEVELS).select("level", "ok")
+
+
+@query
+def assert_labels_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.labels_match(_hierarchy(spark, sf_dir).edges, LEVELS).agg(F.sum("n_wrong").alias("n_wrong"), F.bool_and("ok").alias("ok"))
+
+
+@query
+def assert_levels_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.every_edge_has_level(_levelled(spark, sf_dir), LEVELS)
+
+
+@query
+def assert_routes_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = _hierarchy(spark, sf_dir)
+    return checks.routes_bounded(routes(built.edges, built.vertices, random_pairs(built.vertices, 20, seed=2), list(range(1, LEVELS + 1)), LEVELS), LEVELS)
+
+
+@query
+def full_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The i-th supplier to the i-th nation on the whole graph: the branch of the benchmark for the last level."""
+    built = _hierarchy(spark, sf_dir)
+    found = routes(built.edges, built.vertices, zipped_pairs(spark, sf_dir).select("source", "target"), [LEVELS], LEVELS)
+    return found.select("source", "target", "path_len")
+
+
+@query
+def betweenness_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum over edges equals the sum, over reachable pairs, of the mean hops of their shortest paths."""
+    return edge_betweenness(_plain_edges(spark, sf_dir)).agg(F.round(F.sum("betweenness"), 4).alias("total"))
+
+
 @query
 def hier_route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes of randomly drawn pairs at every level; a sampling operator."""

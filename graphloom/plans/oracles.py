@@ -108,6 +108,8 @@ ORACLE_SQL: dict[str, str] = {
     "directed_rows": f"WITH {_STREETS} SELECT id, source, target, cost FROM edges",
     "vertex_list": f"WITH {_STREETS} SELECT source AS id FROM ways UNION SELECT target FROM ways",
     "adjacency_dump": f"""WITH {_TRADE} SELECT source, source || ': ' || string_agg(target || '(' || id || ',' || CAST(cost AS BIGINT) || ')', ' ' ORDER BY target, id, cost) AS line FROM edges GROUP BY source""",
+    "edge_index": f"WITH {_STREETS} SELECT id, source, target, row_number() OVER (ORDER BY id, source, target) - 1 AS idx FROM edges",
+    "vertex_index": f"WITH {_STREETS} SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT source AS id FROM ways UNION SELECT target FROM ways)",
     "csv_edges": f"WITH {_STREETS} SELECT id, source, target, cost FROM edges",
     "csv_roundtrip": f"WITH {_TRADE} SELECT id, source, target, cost / 8 AS betweenness, CAST(3 AS INTEGER) AS level, '1,1,1,1,1,1,1,1,1,1' AS component FROM edges",
     "inserted_rows": f"WITH a AS ({TRADE}), b AS ({STREETS}), ids AS ((SELECT source AS id FROM a UNION SELECT target FROM a) UNION ALL (SELECT source FROM b UNION SELECT target FROM b)) SELECT id, count(*) AS n, CAST(0 AS INTEGER) AS longest FROM ids GROUP BY id",
@@ -166,4 +168,13 @@ ORACLE_SQL: dict[str, str] = {
     "assert_comp_id": f"SELECT CAST(k AS INTEGER) AS level, CAST(0 AS BIGINT) AS n_wrong, true AS ok FROM range(1, {LEVELS + 1}) r(k)",
     "assert_edge_count": f"WITH RECURSIVE {_TRADE}, {_closure('SELECT 0 AS v, source, target FROM edges')}, m AS MATERIALIZED ({_MUTUAL}), best AS (SELECT component FROM m GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), kept AS (SELECT node FROM m JOIN best USING (component)), n AS (SELECT count(*) AS c FROM edges WHERE source IN (SELECT node FROM kept) AND target IN (SELECT node FROM kept)) SELECT CAST(k AS INTEGER) AS level, c AS n_rows, c AS n_grouped, true AS ok FROM n, range(1, {LEVELS + 1}) r(k)",
     "assert_vertex_count": f"WITH RECURSIVE {_TRADE}, {_closure('SELECT 0 AS v, source, target FROM edges')}, m AS MATERIALIZED ({_MUTUAL}), best AS (SELECT component FROM m GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), n AS (SELECT count(*) AS c FROM m JOIN best USING (component)) SELECT CAST(k AS INTEGER) AS level, c AS n_rows, c AS n_grouped, true AS ok FROM n, range(1, {LEVELS + 1}) r(k)",
+    "assert_promoted_not_above": "SELECT CAST(0 AS BIGINT) AS n_wrong, true AS ok",
+    "assert_skeletons_nested": f"SELECT CAST(k AS INTEGER) AS level, true AS ok FROM range(1, {LEVELS + 1}) r(k)",
+    "assert_labels_match": "SELECT CAST(0 AS BIGINT) AS n_wrong, true AS ok",
+    "assert_levels_complete": "SELECT CAST(0 AS BIGINT) AS n_wrong, true AS ok",
+    "assert_routes_bounded": "SELECT CAST(0 AS BIGINT) AS n_wrong, true AS ok",
+    "betweenness_total": f"""WITH {_TRADE}, {_betweenness()},
+      hops AS (SELECT s, t, sum(k * n) / sum(n) AS mean FROM ({" UNION ALL ".join(f"SELECT s, t, {k} AS k, n FROM p{k}" for k in range(HOPS + 1))}) GROUP BY s, t)
+      SELECT round(sum(mean), 4) AS total FROM hops""",
 }
+ORACLE_SQL["full_routes"] = f"WITH pairs AS ({ORACLE_SQL['zipped_pairs']}), {_TRADE}, {_distances()} SELECT source, target, x AS path_len FROM pairs JOIN d ON s = source AND t = target"
