@@ -178,18 +178,19 @@ def struck_rows(docs: DataFrame, length: int = 50, base: int | None = None) -> t
     # A written side lets the planner split the join where many rows are copies of one.
     least = cut(profiles.where(F.col("n_words") >= length).groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     marked = profiles.join(least, ["w1", "w2"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
-    own = marked.where("not copy and doc_id is not null").select("doc_id", "row_hash", F.explode("anchors").alias("anchor"))
+    own = marked.where("not copy and doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
     alive = own.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    found = cut(own.join(alive, "anchor").distinct().groupBy("doc_id", "row_hash").agg(F.collect_list("anchor").alias("alive")))
-    seen = found.select("doc_id", "row_hash")
+    # What is alive or dead hangs on doc_id and words alone, so rows of one doc_id may share their lists.
+    found = cut(own.join(alive, "anchor").distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("alive")))
+    seen = found.select("doc_id")
     # The ids alone go to every task while they are few; else the join deals out the texts.
-    texts = rows.join(F.broadcast(seen), ["doc_id", "row_hash"], "left_semi") if seen.count() * 32 <= BROADCAST_BYTES else rows
-    texts = texts.dropDuplicates(["doc_id", "row_hash"]).join(found, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "text", "alive")
+    texts = rows.join(F.broadcast(seen), "doc_id", "left_semi") if seen.count() * 32 <= BROADCAST_BYTES else rows
+    texts = texts.dropDuplicates(["doc_id", "row_hash"]).join(found, "doc_id").select("doc_id", "row_hash", "text", "alive")
     windows = cut(texts.mapInArrow(_long_windows(length, base), "doc_id long, row_hash long, text string, h1 array<long>, h2 array<long>"))
-    each = windows.select("doc_id", "row_hash", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "row_hash", "h.h1", "h.h2")
+    each = windows.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
     repeated = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    dead = each.join(repeated, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("h1", "h2")).alias("dead"))
-    struck = windows.select("doc_id", "row_hash", "text").join(dead, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "text", F.col("dead.h1").alias("h1"), F.col("dead.h2").alias("h2"))
+    dead = each.join(repeated, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("dead"))
+    struck = windows.select("doc_id", "row_hash", "text").join(dead, "doc_id").select("doc_id", "row_hash", "text", F.col("dead.h1").alias("h1"), F.col("dead.h2").alias("h2"))
     return marked.select("doc_id", "row_hash", "n_words", "sha", "copy"), struck.mapInArrow(_strike(length), "doc_id long, row_hash long, gone long, kept string")
 
 
