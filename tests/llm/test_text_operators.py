@@ -155,6 +155,24 @@ def test_estimates_do_not_decide_near_the_threshold(spark):
     assert gone == set(range(10, 16))
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_all_sites_of_copied_texts_count(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
+    rows = [(10 * i + k, f"own {i}\nfooter\n{'ten' if i < 9 else 'more'}", site) for i in range(12) for k, site in enumerate([f"s{i}", "a mirror"])]
+    rows += [(500 + i, "one text\non many sites", f"s{i}") for i in range(12)]
+    rows += [(600 + i, f"{'first' if i < 2 else 'second'}\ntwo texts", f"s{i}") for i in range(12)]
+    sites, texts = defaultdict(set), defaultdict(set)
+    for _, text, site in rows:
+        for line in text.split("\n"):
+            sites[line].add(site)
+            texts[line].add(text)
+    gone = {x for x in sites if len(sites[x]) >= lines.MIN_SITES and len(texts[x]) > 1}
+    assert gone == {"footer", "ten", "two texts"}
+    got = {r.doc_id: r.text for r in lines.drop_spread_lines(cases.docs_frame(spark, rows)).collect()}
+    assert got == {d: "\n".join(x for x in t.split("\n") if x not in gone) for d, t, _ in rows}
+
+
 def test_empty_tables(spark):
     none = cases.docs_frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
