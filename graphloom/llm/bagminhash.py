@@ -15,8 +15,9 @@ texts' multisets are compared exactly, again in one task for each pair of bounde
 verified links' components are the classes.
 
 Defined results: a null or empty text is in a class of its own, though equal empty texts share one;
-a text of fewer than five words, but not none, is one shingle; a row without doc_id has no class; rows
-of one doc_id are in one class; further columns are neither read nor returned.
+a text of fewer than five words, but not none, is one shingle; a row without doc_id has no class; the
+texts of a repeated doc_id go each by their own, but texts with the same least doc_id share a class,
+save in ``keep_one_each``, which tells them apart; further columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -243,9 +244,27 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its class, with all their columns; repeated rows of that doc_id become one."""
-    kept = near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class, with all its columns: that of the least doc_id, and of its texts the least by their hashes; rows without doc_id stay.
+
+    Texts that share a doc_id are documents of their own: all but one of them are classed under a hash.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text").where("doc_id is not null")
+    spread = rows.groupBy("doc_id").agg(*[f(t).alias(f"{f.__name__}_{t}") for f in (F.min, F.max) for t in ("t1", "t2")])
+    several = cut(spread.where("min_t1 < max_t1 or min_t2 < max_t2").select("doc_id"))
+    if several.isEmpty():
+        kept = near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+        left = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    else:
+        texts = rows.join(several, "doc_id").select("doc_id", "t1", "t2").distinct()
+        first = texts.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("first"))
+        others = cut(texts.join(first, "doc_id").where(F.struct("t1", "t2") != F.col("first")).select("doc_id", "t1", "t2", F.xxhash64("doc_id", "t1", "t2").alias("id")))
+        few = others.count() * 32 <= BROADCAST_BYTES
+        named = rows.join(F.broadcast(others) if few else others, ["doc_id", "t1", "t2"], "left").withColumn("id", F.coalesce("id", "doc_id"))
+        classes = near_duplicate_classes(named.select(F.col("id").alias("doc_id"), "text")).select(F.col("doc_id").alias("id"), "class_id").distinct()
+        least = named.select("id", "doc_id", "t1", "t2").distinct().join(classes, "id").groupBy("class_id").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("k"))
+        kept = least.select(F.col("k.doc_id").alias("_kept"), F.col("k.t1").alias("_t1"), F.col("k.t2").alias("_t2"))
+        same = (docs["doc_id"] == kept["_kept"]) & (F.xxhash64(docs["text"]) == kept["_t1"]) & (F.xxhash64(F.lit(1), docs["text"]) == kept["_t2"])
+        left = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return left.unionByName(docs.where("doc_id is null"))
 
 

@@ -82,6 +82,19 @@ def test_one_of_each_class_stays_with_all_columns(spark):
     assert got == Counter([d for d in want if want[d] == d]) + Counter({None: 2})
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_no_text_of_a_repeated_id_is_lost(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(bagminhash, "BROADCAST_BYTES", -1)
+    text = {c: cases.prose(i, 60, 5000) for i, c in enumerate("ABCDEFG")}
+    near = " ".join([*text["E"].split(" ")[:-1], "other"])
+    for a, b in ("AB", "BA"):
+        rows = [(5, text[a]), (5, text[b]), (3, text[b]), (7, text["C"]), (7, text["D"]), (8, text["E"]), (8, near), (9, text["F"]), (9, text["F"]), (None, text["G"])]
+        got = [(r.doc_id, r.text) for r in bagminhash.keep_one_each(clashing(cases.docs_frame(spark, rows))).collect()]
+        one = [x for x in got if x in {(8, text["E"]), (8, near)}]
+        assert len(one) == 1 and Counter(got) == Counter([(5, text[a]), (3, text[b]), (7, text["C"]), (7, text["D"]), *one, (9, text["F"]), (None, text["G"])])
+
+
 def test_sketches_agree_as_often_as_multisets_overlap():
     a = {i: 1 + i % 5 for i in range(300)}
     b = {i: 1 + (i * 7) % 4 for i in range(100, 400)}
