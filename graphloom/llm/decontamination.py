@@ -55,6 +55,11 @@ def prefix_index(docs_words: DataFrame, windows: DataFrame, broadcast: bool) ->
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of docs."""
+    return text_contamination(docs, benchmark, length).drop("t1", "t2")
+
+
+def text_contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """The columns of ``contamination`` after t1 and t2, the text's hashes."""
     windows = cut(item_windows(benchmark, length))
     size = windows.agg(F.sum(F.aggregate("window", F.lit(64).cast("long"), lambda n, w: n + 24 + F.octet_length(w)) + F.size("items") * 24)).first()[0] or 0
     small = size <= BROADCAST_BYTES
@@ -82,14 +87,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
     )
     nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("e"))
     union = F.aggregate("spans", nothing, lambda acc, x: F.struct((acc["n"] + F.greatest(x["e"] - F.greatest(x["s"], acc["e"]), F.lit(0))).alias("n"), F.greatest(acc["e"], x["e"]).alias("e")))
-    out = of_row.select("doc_id", "n_words", union["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+    out = of_row.select("t1", "t2", "doc_id", "n_words", union["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return out.select("t1", "t2", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """docs, with all their columns, without the rows whose doc_id has a contaminated text; rows without doc_id stay only if nothing is hit."""
-    bad = contamination(docs, benchmark, length).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """docs, with all their columns, without the rows whose doc_id has a contaminated text; rows without doc_id go each by its own text."""
+
+    def by_text(key: Column, t: Column) -> Column:
+        return F.when(key.isNull(), t).otherwise(0)
+
+    hit = text_contamination(docs, benchmark, length).where("contaminated")
+    bad = hit.select(F.col("doc_id").alias("_bad"), *[by_text(F.col("doc_id"), F.col(t)).alias(f"_{t}") for t in ("t1", "t2")]).distinct()
+    key, text = docs["doc_id"], docs["text"]
+    same = key.eqNullSafe(bad["_bad"]) & (by_text(key, F.xxhash64(text)) == bad["_t1"]) & (by_text(key, F.xxhash64(F.lit(1), text)) == bad["_t2"])
+    return docs.join(bad, same, "left_anti")
 
 
 def op2_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,17 @@ def test_contamination_matches_brute_force(spark, broadcast, monkeypatch):
     assert left.columns == df.columns and Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in rows if d not in bad)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_clean_texts_without_id_stay(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+    item = cases.prose(1, 12, 5000)
+    rows = [(None, f"a {item} b"), (None, "clean one"), (None, None), (None, "clean one"), (1, "clean two"), (2, f"{item} d"), (3, ""), (0, "clean one")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontamination.drop_contaminated(clashing(cases.docs_frame(spark, rows)), bench)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((d, t) for d, t in rows if item not in (t or ""))
+
+
 def spread_by_hand(rows, least):
     site = {}
     for _, text, source in rows:
