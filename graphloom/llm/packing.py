@@ -31,8 +31,8 @@ from graphloom.llm.store import cut, small_batches, table
 from graphloom.llm.wordpiece import byte_letters
 
 CAPACITY, END_ID = 1024, 2
-#: Characters beyond which a text goes to the tokenizer library.
-LONG = 1 << 20
+#: Characters beyond which a text goes to the tokenizer library; a run of about a million spaces overflows the fast splitter.
+LONG = 1 << 18
 # Fixed value: the split pattern that the vocabulary was made with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -100,6 +100,12 @@ def test_ids_equal_the_library():
         assert np.frombuffer(own(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space_equal_the_library():
+    own = packing.encoder(BPE)
+    for text in (f"a{' ' * 1_020_000}b", " " * 1_048_576, "\n" * packing.LONG, f"x <|endoftext|>{' ' * (packing.LONG + 1)}"):
+        assert np.frombuffer(own(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     rows = cases.odd_docs(4) + [(90, "w " * 5000)]
     got = packing.pack_documents(cases.docs_frame(spark, rows).withColumn("length", F.lit("mine"))).collect()
