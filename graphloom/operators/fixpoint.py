@@ -4,19 +4,71 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder of ``spark.checkpoint.dir``. Unset, a local session takes a folder of its machine, and a cluster raises."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found:
+        return found
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+#: Files of the checkpoints that each open ``scratch`` has seen.
+_OPEN: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """An eager, reliable checkpoint in the cluster's shared folder; a local one only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """An eager, reliable checkpoint in the cluster's shared folder: later reads survive the loss of any executor."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    out = df.checkpoint(eager=True)
+    if _OPEN and (path := _file(out)):
+        _OPEN[-1].append(path)
+    return out
+
+
+def _file(df: DataFrame) -> str | None:
+    """Where a checkpoint lies; None for any other frame."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.nodeName() != "LogicalRDD" and "LogicalRDD" not in plan.getClass().getName():
+        return None
+    found = plan.rdd().getCheckpointFile()
+    return found.get() if found.isDefined() else None
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes the files of checkpoints that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        if path := _file(df):
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the checkpoints that are made inside, once the block has written what it made of them."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_OPEN.pop())
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
