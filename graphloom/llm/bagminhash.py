@@ -9,15 +9,17 @@ come in order of time and stop at the latest value of the text's components, so
 more points than a short one.
 
 Classes. Equal texts are one node from the start. Nodes of one band bucket are compared by whole
-sketches inside a task, which emits a spanning forest of the pairs that may be alike, never all of
+sketches inside tasks, which emit a spanning forest of the pairs that may be alike, never all of
 them; the forests' components hold every pair that can reach the threshold. Within a component the
-texts' multisets are compared exactly, again in one task for each pair of bounded blocks, and the
-verified links' components are the classes.
+texts' multisets are compared word by word, and the verified links' components are the classes.
+``groups`` says how groups beyond a block of rows are searched.
 
 Defined results: a null or empty text is in a class of its own, though equal empty texts share one;
-a text of fewer than five words, but not none, is one shingle; a row without doc_id has no class; the
-texts of a repeated doc_id go each by their own, but texts with the same least doc_id share a class,
-save in ``keep_one_each``, which tells them apart; further columns are neither read nor returned.
+a text of fewer than five words, but not none, is one shingle; a text of any length is read whole, in
+one task; a row without doc_id has no class; the texts of a repeated doc_id go each by their own, and
+where two classes have the same least id, both are numbered by it, save in ``keep_one_each``, which
+tells them apart; ids keep their type; an empty table gives an empty result; further columns are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.groups import Forest, block_pairs, whole_groups
+from graphloom.llm.groups import Alike, linked
 from graphloom.llm.hashing import SPACED, Words, column_words, mix
-from graphloom.llm.store import BROADCAST_BYTES, cut, small_batches, table
+from graphloom.llm.store import BROADCAST_BYTES, cut, forget, table
 from graphloom.operators.fixpoint import weak_components
 
 SHINGLE = 5
@@ -40,8 +43,8 @@ BANDS, ROWS = 42, 6
 SIZE = BANDS * ROWS
 #: Pairs whose sketches agree in less than this share are apart: 6 deviations below 0.8.
 MAYBE = 0.65
-#: Rows and shingles of a block; two blocks meet in one task.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 400_000
+#: Rows and shingles of a block; at most two blocks meet in one task.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 100_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,130 +145,111 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(total), lists, pa.array([s.tobytes() for s in small], pa.binary())], names=["doc_id", "t1", "t2", "total", "bands", "sketch"])
 
 
-def _maybe_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, block_a, block_b, node, total, sketch), sorted, to a forest of the pairs of each unit that may be alike."""
-    for t, bounds in whole_groups(batches, 3):
-        node, total = t.column(3).to_numpy(), t.column(4).to_numpy()
-        every = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, SIZE)
-        a, b = [], []
-        sizes = np.diff(bounds)
-        two = bounds[:-1][sizes == 2]
-        close = ((every[two] == every[two + 1]).sum(axis=1) >= MAYBE * SIZE) & (5 * np.minimum(total[two], total[two + 1]) >= 4 * np.maximum(total[two], total[two + 1]))
-        a.append(two[close])
-        b.append(two[close] + 1)
-        for s, e in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist(), strict=True):
-            forest, own, n = Forest(e - s), every[s:e], total[s:e]
-            for i in range(e - s - 1):
-                same = (own[i + 1 :] == own[i]).sum(axis=1) >= MAYBE * SIZE
-                same &= 5 * np.minimum(n[i], n[i + 1 :]) >= 4 * np.maximum(n[i], n[i + 1 :])
-                links = [j for j in (np.flatnonzero(same) + i + 1).tolist() if forest.join(i, j)]
-                a.append(np.full(len(links), s + i))
-                b.append(np.array(links, np.int64) + s)
-        a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["source", "target"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cluster, block_a, block_b, node, text), sorted, to a forest of the pairs of each unit at 0.8 or more."""
-    for t, bounds in whole_groups(batches, 3, rows=2_000):
-        node = t.column(3).to_numpy()
-        a, b = [], []
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            links = similar_forest(t.column(4).slice(s, e - s).combine_chunks())
-            a += [s + i for i, _ in links]
-            b += [s + j for _, j in links]
-        yield pa.RecordBatch.from_arrays([pa.array(node[np.array(a, np.int64)]), pa.array(node[np.array(b, np.int64)])], names=["source", "target"])
-
-
-def similar_forest(texts: pa.Array) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose multisets of shingles have a Jaccard similarity of at least 4/5."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    n = len(texts)
-    rows, items = [], []
-    for start, _, words in column_words(texts, SPACED):
-        of, item, count = multisets(words)
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        rows.append(np.repeat(of, count) + start)
-        items.append(mix(np.repeat(item, count) + nth.astype(np.uint64) * _GOLD))
-    row, item = np.concatenate(rows), np.concatenate(items)
+def sketches_alike(t: pa.Table) -> Alike:
+    """Whether two rows' sketches agree in MAYBE of their components, and their totals by 4/5."""
+    total = t.column("total").to_numpy()
+    every = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SIZE)
+    return lambda i, s, e: ((every[s:e] == every[i]).sum(axis=1) >= MAYBE * SIZE) & (5 * np.minimum(total[i], total[s:e]) >= 4 * np.maximum(total[i], total[s:e]))
+
+
+def _names(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].reshape(-1)
+
+
+def texts_alike(t: pa.Table) -> Alike:
+    """Whether the multisets of two texts' shingles have a Jaccard similarity of at least 4/5, by their words themselves.
+
+    Distinct words get numbers, and shingles numbers by doubling: equal numbers are equal words.
+    """
+    known: dict[bytes, int] = {}
+    word, counts = [], []
+    for text in t.column("text").cast(pa.binary()):
+        own = (text.as_py() or b"").split()
+        word += [known.setdefault(w, len(known) + 1) for w in own]
+        counts.append(len(own))
+    n, size, counts = len(counts), len(word), np.array(counts, np.int64)
+    row = np.repeat(np.arange(n), counts)
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(size)
+    # past a row's end stands 0, so that a row of fewer words has one shingle and its own end
+    padded = np.concatenate([np.array(word, np.int64), np.zeros(SHINGLE, np.int64)])
+    at = lambda k: np.where(left > k, padded[k : size + k], 0)
+    shingle, wide = at(0), len(known) + 1
+    for k in range(1, SHINGLE):
+        shingle = _names(shingle * wide + at(k)) if size else shingle
+    opens = (left >= SHINGLE) | (np.repeat(counts, counts) < SHINGLE) & (left == np.repeat(counts, counts))
+    row, shingle = row[opens], shingle[opens]
+    order = np.lexsort((shingle, row))
+    row, shingle = row[order], shingle[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])
+    nth = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    code = _names(shingle * (int(nth.max(initial=0)) + 1) + nth)
     total = np.bincount(row, minlength=n)
-    _, code = np.unique(item, return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    has, heads = row[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
-    forest, links, first = Forest(n), [], np.concatenate([[0], np.cumsum(total)])
-    for i in range(n):
+    has, heads = row[np.argsort(code, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    first = np.concatenate([[0], np.cumsum(total)])
+
+    def alike(i: int, s: int, e: int) -> np.ndarray:
         own = code[first[i] : first[i + 1]]
         sizes = heads[own + 1] - heads[own]
-        own, sizes = own[sizes > 1], sizes[sizes > 1]
-        if not len(own):
-            continue
         place = np.repeat(heads[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        shared = np.bincount(has[place], minlength=n)
-        shared[: i + 1] = 0
-        for j in np.flatnonzero((shared > 0) & (9 * shared >= 4 * (total[i] + total))).tolist():
-            if forest.join(i, j):
-                links.append((i, j))
-    return links
+        both = np.bincount(has[place], minlength=n)[s:e]
+        return (both > 0) & (9 * both >= 4 * (total[i] + total[s:e]))
 
+    return alike
 
-def _in_units(df: DataFrame, key: str, run, *columns: str) -> DataFrame:
-    """Applies run to the units of df, sorted within partitions that are dealt by unit."""
-    units = df.select(key, "block_a", "block_b", *columns).repartition(key, "block_a", "block_b").sortWithinPartitions(key, "block_a", "block_b")
-    return units.mapInArrow(run, "source long, target long")
 
-
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_shingles) per row; class_id is the least doc_id of the class."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (t1, t2, doc_id, total, class) with the least id of each, and rows (doc_id, t1, t2); ``class`` numbers the classes."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id is not null")
-    features = known.mapInArrow(_features, "doc_id long, t1 long, t2 long, total long, bands array<long>, sketch binary")
-    nodes = cut(features.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("total").alias("total"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ("t1", "t2", "total")), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    features = known.mapInArrow(_features, kind)
+    nodes = features.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.first("total").alias("total"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     sets = member.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     # Buckets with the same members are one.
-    kept = sets.where("members > 1").groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
-    in_bucket = member.join(kept, "bucket").join(nodes.select("node", "total", "sketch"), "node")
-    units = block_pairs(in_bucket, "bucket", F.col("node"), F.ceil(F.col("members") / BLOCK_ROWS))
-    maybe = _in_units(units, "bucket", _maybe_alike, "node", "total", "sketch")
-    clusters = cut(weak_components(maybe.where("source <> target")))
+    kept = sets.where("members > 1").groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("members") / BLOCK_ROWS).alias("parts"))
+    in_bucket = cut(member.join(kept, "bucket").join(nodes.select("node", "total", "sketch"), "node").select("bucket", "node", "parts", "total", "sketch"))
+    clusters = cut(weak_components(linked(in_bucket, "bucket", sketches_alike, ("total", "sketch"), BLOCK_ROWS)))
+    forget(in_bucket)
     # A written side lets the planner split the join where one cluster is large.
     load = cut(clusters.join(nodes.select("node", "total"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("total") / BLOCK_SHINGLES)).alias("parts")))
-    placed = clusters.join(load, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts")
-    seen = placed.select("doc_id")
+    placed = cut(clusters.join(load, "component").join(nodes.select("node", "doc_id", "t1", "t2"), "node").select("node", F.col("component").alias("cluster"), "parts", "doc_id", "t1", "t2"))
     # The ids alone go to every task while they are few; else the join deals out the texts.
-    texts = known.join(F.broadcast(seen), "doc_id", "left_semi") if clusters.count() * 24 <= BROADCAST_BYTES else known
-    texts = texts.join(placed, "doc_id").dropDuplicates(["doc_id", "t1", "t2"])
-    units = block_pairs(texts.withColumn("node", F.col("doc_id")), "cluster", F.col("node"), F.col("parts"))
-    links = _in_units(units, "cluster", _verified, "node", "text")
-    classes = weak_components(links.where("source <> target"))
-    by_text = nodes.join(classes, "node", "left").select("t1", "t2", F.coalesce("component", "node").alias("class_id"), F.col("total").alias("n_shingles"))
-    return rows.select("doc_id", "t1", "t2").join(by_text, ["t1", "t2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_shingles")
+    few = placed.count() * 48 <= BROADCAST_BYTES
+    texts = known.join(F.broadcast(placed) if few else placed, ["doc_id", "t1", "t2"]).dropDuplicates(["node"])
+    texts = cut(texts.select("cluster", "node", "parts", "text"))
+    found = cut(weak_components(linked(texts, "cluster", texts_alike, ("text",), BLOCK_ROWS, rows=2_000)))
+    forget(texts)
+    few = found.count() * 16 <= BROADCAST_BYTES
+    classed = nodes.select("t1", "t2", "doc_id", "total", "node").join(F.broadcast(found) if few else found, "node", "left")
+    return classed.select("t1", "t2", "doc_id", "total", F.coalesce("component", "node").alias("class"), F.col("component").isNotNull().alias("linked")), rows.select("doc_id", "t1", "t2")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One row of each class, with all its columns: that of the least doc_id, and of its texts the least by their hashes; rows without doc_id stay.
+def _least(nodes: DataFrame, value: Column) -> DataFrame:
+    """nodes with the least value of their class as ``least``; only linked texts have to meet."""
+    some = nodes.where("linked").groupBy("class").agg(F.min(value).alias("of_class"))
+    return nodes.join(some, "class", "left").withColumn("least", F.coalesce("of_class", value)).drop("of_class")
 
-    Texts that share a doc_id are documents of their own: all but one of them are classed under a hash.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text").where("doc_id is not null")
-    spread = rows.groupBy("doc_id").agg(*[f(t).alias(f"{f.__name__}_{t}") for f in (F.min, F.max) for t in ("t1", "t2")])
-    several = cut(spread.where("min_t1 < max_t1 or min_t2 < max_t2").select("doc_id"))
-    if several.isEmpty():
-        kept = near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-        left = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    else:
-        texts = rows.join(several, "doc_id").select("doc_id", "t1", "t2").distinct()
-        first = texts.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("first"))
-        others = cut(texts.join(first, "doc_id").where(F.struct("t1", "t2") != F.col("first")).select("doc_id", "t1", "t2", F.xxhash64("doc_id", "t1", "t2").alias("id")))
-        few = others.count() * 32 <= BROADCAST_BYTES
-        named = rows.join(F.broadcast(others) if few else others, ["doc_id", "t1", "t2"], "left").withColumn("id", F.coalesce("id", "doc_id"))
-        classes = near_duplicate_classes(named.select(F.col("id").alias("doc_id"), "text")).select(F.col("doc_id").alias("id"), "class_id").distinct()
-        least = named.select("id", "doc_id", "t1", "t2").distinct().join(classes, "id").groupBy("class_id").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("k"))
-        kept = least.select(F.col("k.doc_id").alias("_kept"), F.col("k.t1").alias("_t1"), F.col("k.t2").alias("_t2"))
-        same = (docs["doc_id"] == kept["_kept"]) & (F.xxhash64(docs["text"]) == kept["_t1"]) & (F.xxhash64(F.lit(1), docs["text"]) == kept["_t2"])
-        left = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.unionByName(docs.where("doc_id is null"))
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_shingles) per row; class_id is the least doc_id of the class."""
+    nodes, rows = text_classes(docs)
+    by_text = _least(nodes, F.col("doc_id")).select("t1", "t2", F.col("least").alias("class_id"), F.col("total").alias("n_shingles"))
+    return rows.join(by_text, ["t1", "t2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_shingles")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all its columns: that of the least doc_id and, of its texts, the least by their hashes; rows without doc_id stay."""
+    nodes, _ = text_classes(docs)
+    # a text stands first in its class by its least id, and then by its hashes
+    place = F.struct("doc_id", "t1", "t2")
+    kept = _least(nodes, place).where(F.col("least") == place).select(F.col("doc_id").alias("id"), "t1", "t2")
+    packed = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    # a row's id and text stand for it, so repeated rows are one
+    left = packed.join(kept, ["id", "t1", "t2"], "left_semi").dropDuplicates(["id", "t1", "t2"])
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns]).union(docs.where("doc_id is null"))
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ the position bounds leave starts whose window lies in the text, the length bound
 length, and the exact words of the stretch are compared.
 
 The index of windows is broadcast only while it is at most BROADCAST_BYTES by its counted words;
-beyond that the join is by shuffle, and a document word takes along the words around it.
+beyond that the join is by shuffle, and candidates meet the texts once more.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no
 windows; equal item texts all count; an item_id that repeats counts once; repeated rows of documents
-give repeated rows; further columns are not returned by ``contamination``.
+give repeated rows, and rows of one doc_id are told apart by their texts; a text of any length is read
+whole; without documents there are no rows, and without items no hits; ids keep their type; further
+columns are not returned by ``contamination`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -65,42 +67,48 @@ def text_contamination(docs: DataFrame, benchmark: DataFrame, length: int = WIND
     small = size <= BROADCAST_BYTES
     rows = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), words(F.col("text")).alias("w"))
     index = cut(prefix_index(rows, windows, small))
+    found = _by_broadcast(rows, index) if small else _by_shuffle(rows, index)
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("e"))
+    union = F.aggregate("spans", nothing, lambda acc, x: F.struct((acc["n"] + F.greatest(x["e"] - F.greatest(x["s"], acc["e"]), F.lit(0))).alias("n"), F.greatest(acc["e"], x["e"]).alias("e")))
+    out = found.select("t1", "t2", "doc_id", F.col("n_words").cast("long").alias("n_words"), union["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _by_broadcast(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """(t1, t2, doc_id, n_words, spans, items) per row: words meet the index where they are, and a row's hits combine before their shuffle."""
     # An empty word after the last one leads each row, with or without hits, through the one join.
     end = index.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
-    index = index.unionByName(end)
     each = rows.select("doc_id", "t1", "t2", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "token"))
     start, n = F.col("pos") - F.col("at"), F.size("window")
-    if small:
-        there = F.slice("w", F.greatest(start, F.lit(0)) + 1, n)
-        joined = each.withColumn("n_words", F.size("w")).join(F.broadcast(index), "token")
-    else:
-        around = each.select("doc_id", "t1", "t2", "pos", "token", F.size("w").alias("n_words"), F.greatest(F.col("pos") - length + 1, F.lit(0)).alias("from"), F.slice("w", F.greatest(F.col("pos") - length + 2, F.lit(1)), 2 * length - 1).alias("near"))
-        there = F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, n)
-        joined = around.join(index, "token")
+    joined = each.withColumn("n_words", F.size("w")).join(F.broadcast(index.unionByName(end)), "token")
     inside = (start >= 0) & (start + n <= F.col("n_words"))
-    hits = joined.where(F.col("at").isNull() | inside & (there == F.col("window")))
+    hits = joined.where(F.col("at").isNull() | inside & (F.slice("w", F.greatest(start, F.lit(0)) + 1, n) == F.col("window")))
     of_row = hits.groupBy("doc_id", "t1", "t2").agg(
         F.count_if(F.col("at").isNull()).alias("copies"),
-        F.max("n_words").cast("long").alias("n_words"),
+        F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct(start.alias("s"), (start + n).alias("e"))))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("e"))
-    union = F.aggregate("spans", nothing, lambda acc, x: F.struct((acc["n"] + F.greatest(x["e"] - F.greatest(x["s"], acc["e"]), F.lit(0))).alias("n"), F.greatest(acc["e"], x["e"]).alias("e")))
-    out = of_row.select("t1", "t2", "doc_id", "n_words", union["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    return out.select("t1", "t2", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+    return of_row.select("t1", "t2", "doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """docs, with all their columns, without the rows whose doc_id has a contaminated text; rows without doc_id go each by its own text."""
+def _by_shuffle(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """The same for an index of any size: bare words meet the index, and their candidates, by text, meet the rows."""
+    start = (F.col("pos") - F.col("at")).alias("s")
+    each = rows.select("t1", "t2", F.posexplode("w").alias("pos", "token"))
+    may = each.join(index, "token").where("pos >= at").groupBy("t1", "t2").agg(F.collect_set(F.struct(start, "window", "items")).alias("may"))
+    joined = rows.join(may, ["t1", "t2"], "left")
+    there = F.filter("may", lambda x: F.slice("w", x["s"] + 1, F.size(x["window"])) == x["window"])
+    hits = joined.select("t1", "t2", "doc_id", F.size("w").alias("n_words"), F.coalesce(there, F.array()).alias("hits"))
+    spans = F.transform("hits", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.size(x["window"])).alias("e")))
+    return hits.select("t1", "t2", "doc_id", "n_words", F.array_sort(F.array_distinct(spans)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias("items"))
 
-    def by_text(key: Column, t: Column) -> Column:
-        return F.when(key.isNull(), t).otherwise(0)
 
-    hit = text_contamination(docs, benchmark, length).where("contaminated")
-    bad = hit.select(F.col("doc_id").alias("_bad"), *[by_text(F.col("doc_id"), F.col(t)).alias(f"_{t}") for t in ("t1", "t2")]).distinct()
-    key, text = docs["doc_id"], docs["text"]
-    same = key.eqNullSafe(bad["_bad"]) & (by_text(key, F.xxhash64(text)) == bad["_t1"]) & (by_text(key, F.xxhash64(F.lit(1), text)) == bad["_t2"])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """docs, with all their columns, without the rows whose text holds a window; rows of one doc_id go each by its own text."""
+    bad = cut(text_contamination(docs, benchmark, length).where("contaminated").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct())
+    bad = F.broadcast(bad) if bad.count() * 32 <= BROADCAST_BYTES else bad
+    same = (F.xxhash64(docs["text"]) == bad["_t1"]) & (F.xxhash64(F.lit(1), docs["text"]) == bad["_t2"])
     return docs.join(bad, same, "left_anti")
 
 

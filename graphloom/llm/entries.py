@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontamination, lines
@@ -28,7 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_windows": op8_repeated_windows,
     "op9_token_counts": op9_token_counts,
     "op10_bagminhash": op10_bagminhash,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_prefix_decontamination": decontamination.ORACLE,

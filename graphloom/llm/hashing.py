@@ -1,11 +1,16 @@
 """Vectorised word and n-gram hashes over the UTF-8 bytes of an Arrow string column.
 
-A batch is cut into blocks of rows; per block, one pass of numpy finds the words of all rows and
-hashes them by prefix sums of a polynomial modulo 2**64, so no Python loop runs over words.
+A batch is cut into blocks of rows; per block, a few passes of numpy find the words of all rows and
+hash them eight bytes at a time, so no Python loop runs over words, save over those of more than
+LONG_WORD bytes, which are digested one by one. Runs of words are hashed by doubling: a run of 2n
+words by the hashes of its halves. Every step is mixed, so that no structure of a text, such as
+sequences that cancel each other in a polynomial, makes two runs alike. Hashes of 64 bits only find
+candidates; what a result hangs on is compared by words or by 128-bit digests of their bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +19,10 @@ import pyarrow as pa
 #: Rows are handled together up to this many bytes; a longer row is a block of its own.
 BLOCK_BYTES = 1 << 20
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Longer words are digested one by one.
+LONG_WORD = 64
+_GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_FRONT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def byte_class(members: bytes, invert: bool = False) -> np.ndarray:
@@ -37,27 +45,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0 .. base**n and their inverses modulo 2**64; base is odd."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 12)
-        tables = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        have = _POWERS[base] = (tables[0], tables[1])
-    return have
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return mix(a * _ODD + b)
 
 
-def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each range."""
-    up, down = powers(base, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[: len(values)], out=sums[1:])
-    inside = (sums[ends] - sums[starts]) * down[starts]
-    return mix(inside + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number, zeros past the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def front(eight: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of numbers of eight bytes the first n bytes, 0 to 8 of them."""
+    return eight & _FRONT[n]
+
+
+def ranges_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes raw[start:end] for each range."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _GOLD)
+    eight = lanes(raw)
+    live = np.flatnonzero(size <= LONG_WORD)
+    at = starts[live]
+    left = size[live]
+    while len(live):
+        out[live] = combine(out[live], front(eight[at], np.minimum(left, 8)))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > LONG_WORD).tolist()
+    if long:
+        data = raw.tobytes()
+        for i in long:
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def runs_hash(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k values from each place on, where there are so many, by doubling."""
+    if k > len(values):
+        return np.zeros(0, np.uint64)
+    out, have = values, 1
+    while have < k:
+        step = min(have, k - have)
+        out = combine(out[:-step], out[step:])
+        have += step
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +122,7 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of consecutive rows: starts and ends in raw, row of each, first word of each row, hashes."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, member: np.ndarray, base: int = 0x9E3779B97F4A7C15):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, member: np.ndarray):
         self.raw, self.offsets = raw, offsets
         rows = len(offsets) - 1
         inside = member[raw]
@@ -102,23 +136,29 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets, "left")
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(rows), self.counts)
-        self.base = base
         self._hashes: np.ndarray | None = None
 
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            self._hashes = ranges_hash(self.raw, self.starts, self.ends, self.base)
+            self._hashes = ranges_hash(self.raw, self.starts, self.ends)
         return self._hashes
 
-    def grams(self, k: int, base: int = 0xD1342543DE82EF95) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of each run of k words within a row; a row of fewer words, but not none, is one run."""
-        firsts = self.first[:-1][(self.counts > 0) & (self.counts < k)]
-        heads = np.arange(len(self.starts))
-        left = self.first[1:][self.row] - heads
-        starts = np.union1d(heads[left >= k], firsts)
-        ends = np.minimum(starts + k, self.first[1:][self.row[starts]]) if len(starts) else starts
-        return ranges_hash(self.hashes, starts, ends, base), starts
+        heads = np.flatnonzero(self.first[1:][self.row] - np.arange(len(self.starts)) >= k)
+        found, places = [runs_hash(self.hashes, k)[heads]], [heads]
+        for n in range(1, k):
+            firsts = self.first[:-1][self.counts == n]
+            if len(firsts):
+                out = np.full(len(firsts), n, np.uint64)
+                for i in range(n):
+                    out = combine(out, self.hashes[firsts + i])
+                found.append(out)
+                places.append(firsts)
+        place = np.concatenate(places)
+        order = np.argsort(place, kind="stable")
+        return np.concatenate(found)[order], place[order]
 
 
 def column_words(column: pa.Array, member: np.ndarray, lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:

@@ -1,49 +1,25 @@
-"""Lineage cuts in the folder that the driver and all executors share."""
+"""Lineage cuts and tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Frames with at most this many bytes (by a count of their rows) are broadcast; beyond it Spark joins by shuffle.
-BROADCAST_BYTES = 8 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where the setting is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or tempfile.mkdtemp(prefix="checkpoint-")
-
+from graphloom.operators.fixpoint import cut, forget, remove, scratch, shared_folder
 
-def cut(df: DataFrame) -> DataFrame:
-    """An eager, reliable checkpoint: later reads survive the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+__all__ = ["BROADCAST_BYTES", "cut", "forget", "remove", "scratch", "shared_folder", "table", "written"]
 
-
-#: Rows of an Arrow batch: whole texts are long, and a batch lies in memory on both sides at once.
-BATCH_ROWS = 1000
-_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, after its session's Arrow batches have been bounded by BATCH_ROWS; a smaller setting stays."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
-        conf.set(_ROWS_SETTING, str(BATCH_ROWS))
-    return df
+#: Frames with at most this many bytes (by a count of their rows) are broadcast; beyond it Spark joins by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again; the folder's owner removes it."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, read again, and its path."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.hashing import Words, byte_class, column_words, mix, ranges_hash
-from graphloom.llm.store import small_batches, table
+from graphloom.llm.hashing import Words, byte_class, column_words, front, lanes, mix
+from graphloom.llm.store import table
 
 #: The bound of the sample that the model is fitted on: rows of each label, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 4000
@@ -94,10 +94,10 @@ class Inputs:
         text[inner] = words.raw[(np.repeat(starts, sizes) + at - 1)[inner]]
         left = np.repeat(sizes, sizes) - at
         owner = np.repeat(np.arange(len(first)), sizes)
-        places, of = [], []
+        places, of, eight = [], [], lanes(text)
         for k in GRAMS:
             p = np.flatnonzero((left >= k) | ((at == 0) & (left < k)))
-            places.append(ranges_hash(text, p, np.minimum(p + k, p + left[p]), 0xA0761D6478BD642F + 2 * k))
+            places.append(mix(front(eight[p], np.minimum(k, left[p])) + np.uint64(k << 60)))
             of.append(owner[p])
         gram, of = np.concatenate(places), np.concatenate(of)
         order = np.argsort(of, kind="stable")
@@ -325,7 +325,7 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
                 part = batch.slice(row, stop - row)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, net: Network) -> DataFrame:
@@ -339,7 +339,7 @@ def drop_toxic(docs: DataFrame, net: Network) -> DataFrame:
             for row, stop, words in column_words(batch.column(at), LETTERS, lower=True, limit=SCORE_BYTES):
                 yield batch.slice(row, stop - row).filter(pa.array(score_words(net, words) < 0.5))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

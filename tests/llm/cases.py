@@ -86,6 +86,21 @@ def classes(rows):
     return {d: root(d) for d in ids}
 
 
+def components(n, pairs):
+    """The least row of each row's component."""
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
 def plain_words(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

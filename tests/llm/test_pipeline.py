@@ -74,8 +74,7 @@ def test_run_equals_the_stages(spark, folder):
 
 
 def test_there_is_one_query_for_each_operator():
-    names = [n for n in entries.QUERIES if n != "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(entries.ORACLE_SQL))
