@@ -20,6 +20,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,8 @@ TABLE_RATE = 3.0
 LEAST_TURNS = 150
 #: Embedding width, hidden units of a direction, rows of the two hashed tables.
 WIDTH, HIDDEN, WORD_ROWS, GRAM_ROWS = 16, 8, 1 << 17, 1 << 17
-#: Words and n-grams of fewer texts of the sample say nothing, and their rows stay zero.
-LEAST_TEXTS = 5
+#: Rows of the tables are learnt whose share of toxic texts is this far from chance.
+SURE = 0.4
 GRAMS = (3, 4, 5)
 #: Distinct words whose n-grams are looked up together, and bytes of text scored together.
 VECTOR_ROWS, SCORE_BYTES = 8192, 1 << 19
@@ -215,16 +216,31 @@ class Pass:
         return grad
 
 
-def _known_rows(column: pa.Array) -> dict[str, np.ndarray]:
-    """Which rows of the two tables LEAST_TEXTS texts or more touch."""
-    seen = {"words": np.zeros(WORD_ROWS, np.int32), "grams": np.zeros(GRAM_ROWS, np.int32)}
+def _known_rows(column: pa.Array, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Which rows of the two tables can't have their share of toxic texts by chance.
+
+    By Chernoff's bound, n texts of which a share q is toxic, where a share p of all is, come about by
+    chance with at most exp(-n KL(q, p)); that must be less than one over the rows that were looked at.
+    """
+    seen = {"words": np.zeros((2, WORD_ROWS)), "grams": np.zeros((2, GRAM_ROWS))}
     for row in range(len(column)):
-        ((_, _, words),) = column_words(column.slice(row, 1), LETTERS, lower=True, limit=1 << 40)
+        ((_, _, words),) = lower_words(column.slice(row, 1), 1 << 40)
         if len(words.starts):
             inputs = Inputs.of(words)
-            seen["words"][np.unique(inputs.word_row)] += 1
-            seen["grams"][np.unique(inputs.gram_row)] += 1
-    return {name: n >= LEAST_TEXTS for name, n in seen.items()}
+            seen["words"][int(labels[row]), np.unique(inputs.word_row)] += 1
+            seen["grams"][int(labels[row]), np.unique(inputs.gram_row)] += 1
+    p, out = float(labels.mean()), {}
+    for name, (clean, toxic) in seen.items():
+        n = clean + toxic
+        with np.errstate(divide="ignore", invalid="ignore"):
+            told = np.where(toxic > 0, toxic * np.log(toxic / n / p), 0) + np.where(clean > 0, clean * np.log(clean / n / (1 - p)), 0)
+        out[name] = told > SURE * np.log(np.count_nonzero(n) + 1)
+    return out
+
+
+def lower_words(column: pa.Array, limit: int = SCORE_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """The words of a text column in lower case."""
+    return column_words(pc.utf8_lower(column), LETTERS, limit=limit)
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
@@ -238,7 +254,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     moments: dict[str, list] = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in dense} | {"words": [0.0], "grams": [0.0]}
     cost = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     column = pa.array(texts, pa.string())
-    known = _known_rows(column)
+    known = _known_rows(column, labels)
     net.grams[~known["grams"]] = 0
     a_round = -(-len(texts) // BATCH)
     epochs = max(epochs, -(-LEAST_TURNS // a_round))
@@ -247,7 +263,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            ((_, _, words),) = column_words(column.take(pa.array(some)), LETTERS, lower=True, limit=1 << 40)
+            ((_, _, words),) = lower_words(column.take(pa.array(some)), 1 << 40)
             row, start, length = windows(words.counts, words.first[:-1])
             if not len(row):
                 continue
@@ -314,13 +330,13 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
 
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size: two tables of 2**14 rows and small matrices
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size: two tables of 2**17 rows, 16 MB, and small matrices
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            for row, stop, words in column_words(batch.column(2), LETTERS, lower=True, limit=SCORE_BYTES):
+            for row, stop, words in lower_words(batch.column(2)):
                 score = score_words(net, words)
                 part = batch.slice(row, stop - row)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -336,7 +352,7 @@ def drop_toxic(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            for row, stop, words in column_words(batch.column(at), LETTERS, lower=True, limit=SCORE_BYTES):
+            for row, stop, words in lower_words(batch.column(at)):
                 yield batch.slice(row, stop - row).filter(pa.array(score_words(net, words) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
