@@ -6,13 +6,14 @@ suffix, from soft counts over all pages; and a host prior. The prior is smoothed
 host leans on its domain, a domain on the whole corpus, by KAPPA pseudo-pages each, and a page's own
 vote is taken out of its host's counts. Votes are whole millionths, so sums do not depend on order.
 
-The text model is fitted on a bounded sample: of the LANGUAGES most frequent languages, the
-SAMPLE_ROWS documents of at most SAMPLE_CHARS characters that come first by a hash of doc_id. All
-counts cover all pages.
+The text model is fitted on a bounded sample: of every language SAMPLE_ROWS documents, first those of
+at most SAMPLE_CHARS characters by a hash of doc_id, then longer ones by their length. All counts
+cover all pages.
 
 Defined results: a null or empty html has no text and no declared language, a null or odd url an
-empty host; repeated rows count and are returned each; ties go to the first language in order of
-name; without any labelled document the language is null; further columns are not returned.
+empty host; an html of any length is read whole, in one task; repeated rows count and are returned
+each; ties go to the first language in order of name; an empty table of pages gives an empty result,
+and without any labelled document the language is null; further columns are not returned.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.store import cut, table
+from graphloom.llm.store import BROADCAST_BYTES, cut, table
 
-#: The bound of the sample that the text model is fitted on: languages, rows of each, characters of a row.
-LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 400, 4000
+#: The bound of the sample that the text model is fitted on: rows of each language, and characters of a row where the language has such rows.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 4000
+#: A host with at least one in this many pages is joined by broadcast: there are no more such hosts.
+HEAVY = 1000
 BUCKETS = 1 << 16
 #: The text counts as at most this many independent n-grams.
 TEMPER = 60.0
@@ -53,11 +56,16 @@ def declared(html: str) -> str:
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all byte trigrams of the texts, letters in lower case, and len + 1 bounds."""
+    """Buckets of all byte trigrams of the texts, letters in lower case, and len + 1 bounds; none lies across two texts."""
     data = [f" {' '.join(t.lower().split())} ".encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b"".join(data) + b"  ", np.uint8).astype(np.uint32)
-    code = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
-    return (code * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64), np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    sizes = np.array([len(d) for d in data], np.int64)
+    raw = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
+    inside = np.ones(len(raw), bool)
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    at = np.flatnonzero(inside)
+    code = raw[at] << 16 | raw[at + 1] << 8 | raw[at + 2]
+    return (code * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64), np.concatenate([[0], np.cumsum(sizes - 2)])
 
 
 def fit_text(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
@@ -72,20 +80,15 @@ def fit_text(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, text) of the bounded sample: SAMPLE_ROWS documents of each of the LANGUAGES most frequent languages.
-
-    Ids are picked first, among those whose hash is small enough to be of the first; texts are then
-    read where they lie.
-    """
-    fits = docs.where("lang is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS)
-    slim = fits.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    share = slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    near = slim.join(F.broadcast(share), "lang").where((F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.lit(3.0 * SAMPLE_ROWS) / F.col("n")) | (F.col("n") <= 3 * SAMPLE_ROWS))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))
-    picked = near.withColumn("nth", first).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "doc_id", "t").distinct()
+    """(lang, text) of the bounded sample. Ids are picked first, each partition's own first ones before they meet; texts are then read where they lie."""
+    fits = docs.where("lang is not null and text is not null")
+    slim = fits.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.greatest(F.length("text"), F.lit(SAMPLE_CHARS)).alias("size"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("size", "h", "doc_id", "t"))
+    picked = cut(slim.withColumn("nth", first).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "doc_id", "t").distinct())
     texts = fits.select("lang", "doc_id", F.xxhash64("text").alias("t"), "text")
     same = [texts["lang"] == picked["lang"], texts["doc_id"].eqNullSafe(picked["doc_id"]), texts["t"] == picked["t"]]
-    return texts.join(F.broadcast(picked), same, "left_semi").dropDuplicates(["lang", "doc_id", "t"]).orderBy("lang", "doc_id", "t").select("lang", "text")
+    found = texts.join(F.broadcast(picked), same, "left_semi")  # SAMPLE_ROWS rows a language
+    return found.dropDuplicates(["lang", "doc_id", "t"]).orderBy("lang", "doc_id", "t").select("lang", "text")
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:
@@ -108,8 +111,9 @@ def page_evidence(pages: DataFrame, names: list[str], model: np.ndarray) -> Data
                 part = batch.slice(at, 256)
                 pages = [h or "" for h in part.column(4).to_pylist()]
                 code, bounds = _grams([visible(h) for h in pages])
-                n = np.diff(bounds) - 2
-                sums = np.add.reduceat(model[code], bounds[:-1], axis=0).astype(np.float64)
+                n = np.diff(bounds)
+                each = np.concatenate([model[code], np.zeros((1, wide), np.float32)])
+                sums = np.add.reduceat(each, bounds[:-1], axis=0, dtype=np.float64)
                 scaled = sums / np.maximum(n, 1)[:, None] * np.where(n > 0, np.minimum(n, TEMPER), 0)[:, None]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pages) + 1) * wide, pa.int32()), pa.array(scaled.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array([declared(h) for h in pages], pa.string()), lists], names=[f.name for f in fields])
@@ -120,7 +124,7 @@ def page_evidence(pages: DataFrame, names: list[str], model: np.ndarray) -> Data
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """(page_id, lang, posterior, text_lang, declared, host) per row of pages."""
-    names, model = fit_text([(r["lang"], r["text"]) for r in sample(docs).collect()])  # at most LANGUAGES * SAMPLE_ROWS rows of SAMPLE_CHARS characters
+    names, model = fit_text([(r["lang"], r["text"]) for r in sample(docs).collect()])  # SAMPLE_ROWS rows a language
     if not names:
         host, _, _ = address(F.col("url"))
         none = F.lit(None).cast("string")
@@ -134,13 +138,18 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     def votes(*keys: str, name: str) -> DataFrame:
         return rows.groupBy(*keys).agg(*[F.sum(f"v{i}").alias(f"{name}{i}") for i in k])
 
-    total = rows.agg(*[F.coalesce(F.sum(f"v{i}"), F.lit(0)).alias(f"g{i}") for i in k]).first()
+    total = rows.agg(*[F.coalesce(F.sum(f"v{i}"), F.lit(0)).alias(f"g{i}") for i in k], F.count("*").alias("pages")).first()
     count = [total[f"g{i}"] / VOTES for i in k]
     prior = [(c + 1.0) / (sum(count) + len(names)) for c in count]
-    hosts = votes("host", "domain", name="h")
+    hosts = rows.groupBy("host", "domain").agg(*[F.sum(f"v{i}").alias(f"h{i}") for i in k], F.count("*").alias("pages"))
     domains = hosts.groupBy("domain").agg(*[F.sum(f"h{i}").alias(f"d{i}") for i in k])
     place = cut(hosts.join(domains, "domain").drop("domain"))
-    joined = rows.join(place, "host").join(cut(votes("declared", name="m")), "declared").join(cut(votes("suffix", name="s")), "suffix")
+    heavy = F.col("pages") * HEAVY >= total["pages"]
+    crowded, rest = F.broadcast(place.where(heavy).drop("pages")), place.where(~heavy).drop("pages")
+    joined = rows.join(crowded, "host").unionByName(rows.join(crowded.select("host"), "host", "left_anti").join(rest, "host"))
+    suffixes = cut(votes("suffix", name="s"))
+    suffixes = F.broadcast(suffixes) if suffixes.count() * 8 * (len(names) + 4) <= BROADCAST_BYTES else suffixes
+    joined = joined.join(F.broadcast(cut(votes("declared", name="m"))), "declared").join(suffixes, "suffix")  # a declared language has at most three letters
     in_host, in_domain = (reduce(Column.__add__, [F.col(f"{c}{i}") for i in k]) / VOTES for c in "hd")
     own = reduce(Column.__add__, [F.col(f"v{i}") for i in k]) / VOTES
     scores = []

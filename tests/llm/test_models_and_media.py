@@ -1,5 +1,9 @@
 import hashlib
+import itertools
+import math
 import random
+import re
+import struct
 import zlib
 from collections import Counter
 
@@ -29,6 +33,57 @@ def test_tiff_round_trip(variant, order):
         assert [p.page for p in pages] == list(range(len(pages))) and len(pages) == -(-len(payload) // 65536)
 
 
+def planar_tiff(planes, width, height, rows_per_strip, predictor):
+    """A file by hand, of one directory: deflate strips, plane after plane, or chunky if planes is one array of three samples a pixel."""
+    per = 3
+    separate = planes.shape[0] == per
+    images = planes if separate else [planes[0]]
+    strips = []
+    for image in images:
+        for y in range(0, height, rows_per_strip):
+            part = image[y : y + rows_per_strip].astype(np.uint8)
+            if predictor == 2:
+                part = np.concatenate([part[:, :1], np.diff(part, axis=1)], axis=1).astype(np.uint8)
+            strips.append(zlib.compress(part.tobytes()))
+    n, body, places = len(strips), b"", []
+    for strip in strips:
+        places.append(8 + len(body))
+        body += strip
+    at = 8 + len(body)
+    lists = struct.pack(f"<{n}I", *places) + struct.pack(f"<{n}I", *map(len, strips)) + struct.pack("<3H", 8, 8, 8)
+    entries = [(256, 3, 1, width), (257, 3, 1, height), (258, 3, 3, at + 8 * n), (259, 3, 1, 8), (262, 3, 1, 2), (273, 4, n, at if n > 1 else places[0]), (277, 3, 1, per), (278, 3, 1, rows_per_strip), (279, 4, n, at + 4 * n if n > 1 else len(strips[0])), (284, 3, 1, 2 if separate else 1), (317, 3, 1, predictor)]
+    directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+    return b"II*\0" + struct.pack("<I", at + len(lists)) + body + lists + directory
+
+
+@pytest.mark.parametrize("predictor", [1, 2])
+@pytest.mark.parametrize("rows", [2, 7])
+def test_tiff_of_several_samples(predictor, rows):
+    image = np.random.default_rng(3).integers(0, 256, (7, 5, 3))
+    for planes in (image.transpose(2, 0, 1), image[None]):
+        (page,) = tiff.read_pages(planar_tiff(planes, 5, 7, rows, predictor))
+        assert page.samples == image.astype(np.uint8).tobytes() and (page.samples_per_pixel, page.width, page.height) == (3, 5, 7)
+
+
+def feature_by_hand(text):
+    """The feature's numbers from the padded bytes alone."""
+    data = (text or "").encode()
+    data += b"\0" * (64 - len(data) % 64)
+    if text and len(text.encode()) % 64 == 0:
+        data = text.encode()
+    rows = [data[i : i + 64] for i in range(0, len(data), 64)]
+    edges = sum(a != b for r in rows for a, b in zip(r, r[1:], strict=False))
+    bins = Counter(b // 16 for b in data)
+    return f"pages={-(-len(data) // 65536)};mean={sum(data) / len(data):.4f};edges={edges};bins={'.'.join(str(1000 * bins[k] // len(data)) for k in range(16))}"
+
+
+def test_features_by_hand(spark):
+    rows = cases.odd_docs(8) + [(90, "z" * 64), (91, "é" * 40_000), (92, "ab" * 32768)]
+    df = cases.docs_frame(spark, rows).withColumn("doc_id", F.concat(F.lit("doc "), "doc_id"))
+    got = Counter((r.doc_id, r.feature.split(";", 1)[1]) for r in media_query.media_digests(df).collect())
+    assert got == Counter((d if d is None else f"doc {d}", feature_by_hand(t)) for d, t in rows)
+
+
 def test_tiff_packbits_and_lzw_codes():
     # the worked example of the format's own text
     packed = bytes.fromhex("feaa0280002afdaa0380002a22f7aa")
@@ -258,7 +313,7 @@ def scores(net, texts):
 
 
 def column_words_of(texts):
-    return toxicity.column_words(pa.array(texts, pa.string()), toxicity.LETTERS, lower=True)
+    return toxicity.lower_words(pa.array(texts, pa.string()))
 
 
 def test_toxicity_held_out_accuracy(net):
@@ -293,6 +348,66 @@ def test_toxicity_gradients():
             assert g[k] == pytest.approx((up - down) / 2e-3, abs=2e-3)
 
 
+def plain_logit(net, words, vector):
+    """One window, word by word, with nothing shared between windows."""
+    h, sigmoid = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    states = []
+    for d, order in enumerate((words, words[::-1])):
+        state, own = np.zeros(h), []
+        for w in order:
+            g, u = vector[w] @ net.inputs[d] + net.bias[d], state @ net.recurrent[d]
+            z, r = sigmoid(g[:h] + u[:h]), sigmoid(g[h : 2 * h] + u[h : 2 * h])
+            new = np.tanh(g[2 * h :] + r * u[2 * h :])
+            state = z * state + (1 - z) * new
+            own.append(state)
+        states.append(own if d == 0 else own[::-1])
+    both = np.concatenate([np.array(states[0]), np.array(states[1])], axis=1)
+    weight = np.exp(both @ net.attention)
+    return float((weight / weight.sum()) @ both @ net.output + net.offset[0])
+
+
+def test_scores_equal_a_plain_pass_over_each_window(net):
+    rng = random.Random(4)
+    vocabulary = ["thing", "scumbag", "ering", "zorvekia", "onted", "Ährentor", "7"]
+    texts = [" ".join(rng.choices(vocabulary, k=n)) for n in (1, 5, 127, 128, 129, 400)]
+    got = scores(net, texts)
+    for text, score in zip(texts, got, strict=True):
+        words = text.lower().split(" ")
+        vector = {}
+        for w in set(words):
+            ((_, _, one),) = column_words_of([w])
+            inputs, name = toxicity.Inputs.of(one), f"^{w}$".encode()
+            grams = {k: [name[i : i + k] for i in range(max(1, len(name) - k + 1))] for k in toxicity.GRAMS}
+            assert len(inputs.gram_row) == sum(map(len, grams.values()))
+            vector[w] = net.words[inputs.word_row[0]] + net.grams[inputs.gram_row].mean(axis=0)
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        worst = max(plain_logit(net, words[s : s + toxicity.WINDOW], vector) for s in starts)
+        assert score == pytest.approx(1 / (1 + np.exp(-worst)), abs=1e-3)
+
+
+def test_chance_words_teach_nothing():
+    texts = [f"w{i} common {'bad' if i % 4 == 0 else 'fine'} {'rare' if i == 4 else ''}" for i in range(200)]
+    known = toxicity._known_rows(pa.array(texts), np.array([int(i % 4 == 0) for i in range(200)]))
+    row = lambda w: toxicity.Inputs.of(next(column_words_of([w]))[2]).word_row[0]
+    assert known["words"][row("bad")] and known["words"][row("fine")]
+    assert not known["words"][row("rare")] and not known["words"][row("common")] and not known["words"][row("w8")]
+
+
+@pytest.mark.parametrize("sf,recall,precision", [("sf0.01", 0.6, 0.5), ("sf0.1", 0.85, 0.9)])
+def test_held_out_labels_of_the_tables(spark, sf, recall, precision):
+    """Some held-out rows are labelled toxic without any toxic word: 6 of the 97 of sf0.1."""
+    from pathlib import Path
+
+    at = Path("/root/testdata") / sf
+    if not at.exists():
+        pytest.skip("the driver's tables are not here")
+    got = toxicity.op3_toxicity(spark, str(at)).where("held_out")
+    truth = spark.read.parquet(f"{at}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {(r.toxic, r.predicted): r["count"] for r in got.join(truth, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    caught = n.get((1, 1), 0)
+    assert caught >= recall * (caught + n.get((1, 0), 0)) and caught >= precision * (caught + n.get((0, 1), 0))
+
+
 def test_windows_cover_everything():
     counts = np.array([0, 1, 127, 128, 129, 192, 193, 1000])
     first = np.cumsum(counts) - counts
@@ -363,6 +478,59 @@ def test_language_fuses_evidence(spark):
     assert Counter(r.page_id for r in got)[0] == 2
 
 
+def posteriors(docs, pages):
+    """The fusion in plain Python: (lang, posterior) by place, from the rows of both tables."""
+    names, model = language.fit_text([(d[2], d[1]) for d in docs if d[1] is not None and d[2] is not None])
+    k = range(len(names))
+    rows = []
+    for _, url, html in pages:
+        code, _ = language._grams([language.visible(html or "")])
+        n = len(code)
+        mean = [sum(float(model[c, i]) for c in code) / max(n, 1) * min(n, language.TEMPER) for i in k]
+        top = max(mean)
+        odds = [math.exp(x - top) for x in mean]
+        host = m[1].lower() if (m := re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", url or "")) else ""
+        labels = host.split(".")
+        rows.append((mean, [round(x / sum(odds) * 10**6) for x in odds], host, ".".join(labels[-2:]), labels[-1], language.declared(html or "")))
+    count = [sum(r[1][i] for r in rows) / 10**6 for i in k]
+    prior = [(c + 1) / (sum(count) + len(names)) for c in count]
+    out = []
+    for mean, own, host, domain, suffix, declared in rows:
+        said = lambda at, key, i: sum(r[1][i] for r in rows if r[at] == key) / 10**6
+        score = []
+        for i in k:
+            by_domain = (said(3, domain, i) + language.KAPPA * prior[i]) / (sum(said(3, domain, j) for j in k) + language.KAPPA)
+            by_host = (said(2, host, i) - own[i] / 10**6 + language.KAPPA * by_domain) / (sum(said(2, host, j) - own[j] / 10**6 for j in k) + language.KAPPA)
+            likely = [(said(at, key, i) + 1) / (count[i] + 50) for at, key in ((5, declared), (4, suffix))]
+            score.append(mean[i] + math.log(by_host) + sum(map(math.log, likely)))
+        best = max(score)
+        out.append((names[score.index(best)], 1 / sum(math.exp(x - best) for x in score)))
+    return out
+
+
+@pytest.mark.parametrize("heavy", [1, 1000])
+def test_posteriors_equal_plain_python(spark, heavy, monkeypatch):
+    monkeypatch.setattr(language, "HEAVY", heavy)
+    monkeypatch.setattr(language, "BROADCAST_BYTES", -1 if heavy == 1 else 1 << 20)
+    docs, pages, _ = language_tables(spark)
+    pages = pages[:60] + [(900, None, None), (901, "http://u@B.site1.ORG:8/x", "<p>koru"), (902, "x", '<html lang="zz">liri maken'), (903, "", "")]
+    got = {r.page_id: r for r in language.identify(spark.createDataFrame(pages, PAGES), docs).collect()}
+    assert len(got) == len(pages)
+    for page, (lang, p) in zip(pages, posteriors([tuple(r) for r in docs.collect()], pages), strict=True):
+        assert got[page[0]].lang == lang and got[page[0]].posterior == pytest.approx(p, abs=2e-5)
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 30)
+    rng = random.Random(8)
+    names = [f"{a}{b}" for a, b in itertools.islice(itertools.product("abcdefghij", repeat=2), 65)]
+    word = {n: ["".join(rng.choices("bdfgklmnprstaeiou", k=7)) for _ in range(3)] for n in names}
+    docs = [(i, " ".join(word[n] * 4), n, "s", 1) for i, n in enumerate(names)]  # all longer than SAMPLE_CHARS
+    pages = [(i, f"http://h{i}.net/", f"<p>{' '.join(word[n] * 5)}</p>") for i, n in enumerate(names)]
+    got = language.identify(spark.createDataFrame(pages, PAGES), spark.createDataFrame(docs, cases.DOCS)).collect()
+    assert {r.page_id: r.lang for r in got} == dict(enumerate(names))
+
+
 def test_language_without_rows(spark):
     docs, pages, _ = language_tables(spark)
     assert language.identify(spark.createDataFrame([], PAGES), docs).isEmpty()
@@ -432,6 +600,38 @@ def test_chat_partitions_do_not_change_the_paths(spark, pieces, parts):
     assert {(r.conv_id, r.place, r.text): list(r.states) for r in got} == want
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        moves = np.log(rng.random((chat.STATES + 1, chat.STATES)))
+        model = chat.Model(np.log(rng.random((chat.STATES, 5))), moves)
+        codes = rng.integers(0, 5, int(rng.integers(1, 5)))
+        enter = int(rng.integers(0, chat.STATES + 1))
+
+        def score(path, enter=enter, codes=codes, model=model):
+            return sum(model.moves[a, b] + model.emission[b, c] for a, b, c in zip((enter, *path), path, codes, strict=False))
+
+        every = {p: score(p) for p in itertools.product(range(chat.STATES), repeat=len(codes))}
+        assert tuple(chat.viterbi(model, codes, enter)) == max(every, key=every.get)
+        leave = int(rng.integers(0, chat.STATES))
+        ending = {p: v for p, v in every.items() if p[-1] == leave}
+        assert tuple(chat.viterbi(model, codes, enter, leave)) == max(ending, key=ending.get)
+        assert chat.span(model, codes)[enter, leave] == pytest.approx(max(ending.values()))
+
+
+def test_features_of_a_line_by_hand(spark):
+    lines = ["User: Hi", "Assistant: no?", "### Instruction: Do", "<|system|>", "Question the plan", "A: x", "a b c", "  Q: what? ", "", "1 thing", "x" * 300, "System prompt: be", "Human:"]
+    speaker = {"User: Hi": 1, "Assistant: no?": 2, "### Instruction: Do": 1, "<|system|>": 3, "A: x": 2, "  Q: what? ": 1, "System prompt: be": 3, "Human:": 1}
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", chat.line_code(F.col("x")).alias("c")).collect()
+    for r in got:
+        x = r.x
+        size = sum(len(x) > b for b in chat.LENGTHS)
+        first = x.strip()[:1]
+        begins = 0 if first.isupper() else 1 if first.islower() else 2
+        asks = int(x.rstrip().endswith("?"))
+        assert r.c == ((speaker.get(x, 0) * 4 + size) * 2 + asks) * 3 + begins, x
+
+
 def test_chat_without_rows(spark, pieces):
     none = pieces.where("false")
     assert chat.parse_transcripts(none, chat.fit(none)).isEmpty()
