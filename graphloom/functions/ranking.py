@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.fixpoint import cut, numbered
 
+#: Up to so many rows a quantile is found by one task's sort.
+FEW = 1 << 20
 METHODS = ("average", "min", "max", "ordinal")
 
 
@@ -83,7 +85,23 @@ def first_in_order(df: DataFrame, value: str, key: str, num: int, descending: bo
     return df.orderBy(F.col(value).desc() if descending else F.col(value).asc(), key).limit(num)
 
 
-def quantiles(value: Column | str, at: Sequence[float]) -> Column:
-    """Exact quantiles with linear interpolation at (n - 1) q; q is cut to 0..1, an empty column gives zeros."""
-    cut = [min(1.0, max(0.0, float(q))) for q in at]
-    return F.coalesce(F.percentile(value, F.array(*[F.lit(q) for q in cut])), F.array(*[F.lit(0.0) for _ in cut]))
+def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = (), few: int = FEW) -> DataFrame:
+    """(by, q): exact quantiles with linear interpolation at (n - 1) q as an array; q is cut to 0..1, an empty column gives zeros.
+
+    Few values are sorted in one task. Of more, the values are counted and numbered by ranges, and
+    the two values around each quantile's place are picked by their places.
+    """
+    at = [min(1.0, max(0.0, float(q))) for q in at]
+    none = F.array(*[F.lit(0.0) for _ in at])
+    if df.count() <= few:
+        exact = F.coalesce(F.percentile(value, F.array(*[F.lit(q) for q in at])), none).alias("q")
+        return df.groupBy(*by).agg(exact) if by else df.agg(exact)
+    below = cut(_below(df.where(F.col(value).isNotNull()), value, False, by))
+    totals = below.groupBy(*by).agg(F.sum("_n").alias("_total")) if by else below.agg(F.sum("_n").alias("_total"))
+    placed = _match(below, totals, by, "_total")
+    place = [(F.col("_total") - 1) * F.lit(q) for q in at]
+    pick = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_n")), F.col(value).cast("double")))
+    bounds = [x for i, p in enumerate(place) for x in (pick(F.floor(p)).alias(f"_low{i}"), pick(F.ceil(p)).alias(f"_high{i}"))]
+    found = placed.groupBy(*by, "_total").agg(*bounds)
+    between = [F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]
+    return found.select(*by, F.array(*between).alias("q"))

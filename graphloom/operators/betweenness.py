@@ -21,13 +21,13 @@ SOURCE_BATCH = 1024
 def sample_sources(vertices: DataFrame, seed: int = 0, n: int | None = None) -> DataFrame:
     """(id): a fixed pseudo-random sample, of the square root of all vertices unless n is given."""
     n = math.ceil(math.sqrt(vertices.count())) if n is None else n
-    return vertices.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return vertices.select("id").orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(n)
 
 
-def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, broadcast_edges: int = BROADCAST_EDGES, parts: int | None = None) -> DataFrame:
     """(id, source, target, cost, betweenness) per row of edges with positive costs.
 
-    ``sources`` (id) limits the paths' starts and scales up by their share, as an estimate. Graphs of
+    ``parts`` says into how many tasks the sources are dealt, one for a sequential run. ``sources`` (id) limits the paths' starts and scales up by their share, as an estimate. Graphs of
     at most broadcast_edges edges go to all tasks as arrays, and sources are dealt out; larger ones
     take joins over batches of sources.
     """
@@ -38,7 +38,7 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, broadca
     g = Graph.collect(edges)
     shared = spark.sparkContext.broadcast(g)
     starts = edges.select(F.col("source").alias("id")).distinct() if sources is None else sources.select("id").distinct()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import strong_components
 from graphloom.operators.fixpoint import cut
-from graphloom.operators.label import residue_components
-
-_BASE = 128
+from graphloom.operators.label import at_level, residue_labels, split_level
 
 
 class Broken(AssertionError):
@@ -21,8 +19,8 @@ class Broken(AssertionError):
 def skeleton_strongly_connected(edges: DataFrame, num_levels: int = 10) -> DataFrame:
     """(level, n_scc, ok): the skeleton of each level is one strong component; all levels are solved in one pass."""
     each = edges.select("source", "target", "promoted_level", F.explode(F.sequence(F.lit(1), F.lit(num_levels))).alias("level")).where("promoted_level <= level")
-    found = strong_components(each.select(*[(F.col(c) * _BASE + F.col("level")).alias(c) for c in ("source", "target")]))
-    counted = found.groupBy(F.pmod("component", F.lit(_BASE)).cast("int").alias("level")).agg(F.countDistinct("component").alias("n_scc"))
+    found = strong_components(each.select(*[at_level(F.col(c), F.col("level")).alias(c) for c in ("source", "target")]))
+    counted = found.groupBy(split_level(F.col("component"))[1].alias("level")).agg(F.countDistinct("component").alias("n_scc"))
     return counted.withColumn("ok", F.col("n_scc") == 1)
 
 
@@ -63,9 +61,9 @@ def skeletons_nested(edges: DataFrame, num_levels: int = 10) -> DataFrame:
 
 def labels_match(edges: DataFrame, num_levels: int = 10) -> DataFrame:
     """(level, n_wrong, ok): each residue edge has the label of its component as computed anew, with the ends swapped."""
-    fresh = residue_components(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "promoted_level"), num_levels)
+    fresh = residue_labels(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "promoted_level"), num_levels)
     each = edges.select("target", "component", "promoted_level", F.explode(F.sequence(F.lit(1), F.lit(num_levels))).alias("level")).where(F.col("promoted_level") > F.col("level"))
-    both = each.join(fresh.select("level", F.col("node").alias("target"), F.col("component").alias("fresh")), ["level", "target"], "left")
+    both = each.join(fresh.select("level", F.col("node").alias("target"), F.col("label").alias("fresh")), ["level", "target"], "left")
     wrong = both.groupBy("level").agg(F.count_if(~F.get("component", F.col("level") - 1).eqNullSafe((F.col("fresh") + 1).cast("int"))).alias("n_wrong"))
     return wrong.withColumn("ok", F.col("n_wrong") == 0)
 

@@ -13,7 +13,8 @@ from graphloom.operators.csr import Graph, strong_labels
 from graphloom.operators.fixpoint import ONE_TASK_EDGES, cut
 
 
-def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, target) of a whole graph to (node, component)."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not parts:
         return
@@ -46,7 +47,7 @@ def strong_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataF
     """
     ends = cut(edges.select(F.col("source").alias("u"), F.col("target").alias("v")))
     if ends.count() <= one_task:
-        return ends.coalesce(1).mapInArrow(_tarjan, "node long, component long")
+        return ends.coalesce(1).mapInArrow(tarjan, "node long, component long")
     live = cut(ends.where("u <> v").distinct())
     found = cut(ends.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     done = None
@@ -65,7 +66,7 @@ def strong_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataF
         done = back if done is None else cut(done.union(back))
         gone = back.select(F.col("node").alias("u"))
         live = cut(live.join(gone, "u", "left_anti").join(gone.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"))
-    last = live.select("u", "v").coalesce(1).mapInArrow(_tarjan, "node long, component long")
+    last = live.select("u", "v").coalesce(1).mapInArrow(tarjan, "node long, component long")
     marks = last if done is None else done.select("node", F.col("mark").alias("component")).union(last)
     return found.join(marks, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -25,13 +25,15 @@ class Graph:
     head: np.ndarray
     cost: np.ndarray
     first: np.ndarray
+    #: The place that each edge had in the input.
+    order: np.ndarray
 
     @staticmethod
     def of(edge_id: np.ndarray, source: np.ndarray, target: np.ndarray, cost: np.ndarray) -> Graph:
         order = np.lexsort((cost, edge_id, target, source))
         ids, code = np.unique(np.concatenate([source, target]), return_inverse=True)
         tail, head = code[: len(source)][order], code[len(source) :][order]
-        return Graph(ids, edge_id[order], tail, head, cost[order], np.searchsorted(tail, np.arange(len(ids) + 1)))
+        return Graph(ids, edge_id[order], tail, head, cost[order], np.searchsorted(tail, np.arange(len(ids) + 1)), order)
 
     @staticmethod
     def collect(edges: DataFrame) -> Graph:
@@ -49,8 +51,8 @@ class Graph:
         return self.first.tolist(), self.head.tolist(), self.cost.tolist()
 
 
-def shortest_tree(lists: tuple[list, list, list], source: int, targets: set[int] | None = None) -> tuple[dict[int, float], dict[int, int]]:
-    """Distances and the edge into each settled vertex; stops when all targets are settled.
+def shortest_tree(lists: tuple[list, list, list], source: int, targets: set[int] | None = None, only: bytes | None = None) -> tuple[dict[int, float], dict[int, int]]:
+    """Distances and the edge into each settled vertex; stops when all targets are settled. ``only`` marks the edges that may be taken, a byte each.
 
     Among equal distances the predecessor of least code wins, then the first edge.
     """
@@ -71,6 +73,8 @@ def shortest_tree(lists: tuple[list, list, list], source: int, targets: set[int]
             if not left and (not queue or queue[0][0] > d):
                 break
         for e in range(first[u], first[u + 1]):
+            if only is not None and not only[e]:
+                continue
             v, new = head[e], d + cost[e]
             old = dist.get(v)
             if old is None or new < old:

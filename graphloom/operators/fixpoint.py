@@ -74,11 +74,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
     """df with each row's place from 1 in the order, by a range-partitioned sort: no task holds more than a range of rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    rows = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # the id holds the partition above 33 bits of the row's place in it
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a partition
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return rows.withColumn("_nth", nth).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_nth")).drop("_part", "_base", "_nth")
+    bases = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row a partition
+    placed = rows.withColumn("_part", part).join(F.broadcast(bases), "_part")
+    return placed.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_base", "_at")
 
 
 #: A graph that has shrunk to this many edges is finished by one task, in some 100 MB.
@@ -127,6 +128,7 @@ def weak_components(edges: DataFrame, source: str = "source", target: str = "tar
         both = live.select("u", "v").union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         best = both.groupBy("u").agg(F.min(priority(F.col("v"))).alias("m"))
         best = cut(best.select(F.col("u").alias("at"), F.least(F.col("m"), priority(F.col("u")))["id"].alias("to")))
+        old, first_hop = (labels, live), best
         hop = best.alias("a").join(best.alias("b"), F.col("a.to") == F.col("b.at"), "left").select(F.col("a.at").alias("at"), F.coalesce("b.to", "a.to").alias("to"))
         best = cut(hop)
         moved = labels.join(best, labels["label"] == best["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
@@ -134,6 +136,7 @@ def weak_components(edges: DataFrame, source: str = "source", target: str = "tar
         first = live.join(best, live["u"] == best["at"]).select(F.col("to").alias("u"), "v")
         both_moved = first.join(best, first["v"] == best["at"]).select("u", F.col("to").alias("v"))
         live = cut(both_moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        forget(*old, first_hop, best)
     last = cut(live.coalesce(1).mapInArrow(_forest, "at long, to long"))
     labels = labels.join(last, labels["label"] == last["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
     least = labels.groupBy("label").agg(F.min("node").alias("component"))

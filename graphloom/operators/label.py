@@ -5,24 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.fixpoint import cut, weak_components
+from graphloom.operators.fixpoint import cut, numbered, weak_components
 
-#: Levels fit below this factor, so that (vertex, level) is one number and all levels are solved in one pass.
-_BASE = 128
+#: Levels take this many low bits, so that (vertex, level) is one number and all levels are solved in one pass.
+_BITS = 7
+#: Vertex ids are smaller than this, on both sides of zero.
+MOST_ID = 1 << 63 - _BITS
 
 
 def _levels(num_levels: int) -> Column:
-    if not 0 < num_levels < _BASE:
-        raise ValueError(f"num_levels must lie between 1 and {_BASE - 1}")
+    if not 0 < num_levels < 1 << _BITS:
+        raise ValueError(f"num_levels must lie between 1 and {(1 << _BITS) - 1}")
     return F.sequence(F.lit(1), F.lit(num_levels))
 
 
+def at_level(vertex: Column, level: Column) -> Column:
+    """One number for a vertex at a level; an id that has no room for it raises."""
+    return F.when(F.abs(vertex) < MOST_ID, F.shiftleft(vertex, _BITS) + level).otherwise(F.raise_error(F.lit(f"vertex ids must lie within {MOST_ID}")).cast("long"))
+
+
+def split_level(coded: Column) -> tuple[Column, Column]:
+    """The vertex and the level of such a number."""
+    return F.shiftright(coded, _BITS), F.pmod(coded, F.lit(1 << _BITS)).cast("int")
+
+
 def residue_components(edges: DataFrame, num_levels: int = 10, column: str = "promoted_level") -> DataFrame:
     """(level, node, component): weak components of the edges above each level; component is the least vertex."""
     each = edges.select("source", "target", F.col(column).alias("_own"), F.explode(_levels(num_levels)).alias("level")).where("_own > level")
-    coded = each.select(*[(F.col(c) * _BASE + F.col("level")).alias(c) for c in ("source", "target")])
-    found = weak_components(coded)
-    return found.select(F.pmod("node", F.lit(_BASE)).cast("int").alias("level"), F.floor(F.col("node") / _BASE).cast("long").alias("node"), F.floor(F.col("component") / _BASE).cast("long").alias("component"))
+    found = weak_components(each.select(*[at_level(F.col(c), F.col("level")).alias(c) for c in ("source", "target")]))
+    (node, level), (component, _) = split_level(F.col("node")), split_level(F.col("component"))
+    return found.select(level.alias("level"), node.alias("node"), component.alias("component"))
+
+
+def residue_labels(edges: DataFrame, num_levels: int = 10, column: str = "promoted_level") -> DataFrame:
+    """(level, node, component, label): label numbers a level's components from 1, in order of their least vertices.
+
+    Labels are dense, so that they fit into ints whatever the vertices' ids.
+    """
+    parts = cut(residue_components(edges, num_levels, column))
+    kinds = numbered(parts.select("level", "component").distinct(), [F.col("level").asc(), F.col("component").asc()])
+    kinds = cut(kinds)
+    first = kinds.groupBy("level").agg(F.min("place").alias("first"))
+    ranked = kinds.join(F.broadcast(first), "level").select("level", "component", (F.col("place") - F.col("first") + 1).cast("int").alias("label"))  # a row a level
+    return parts.join(ranked, ["level", "component"]).select("level", "node", "component", "label")
+
+
+def component_members(edges: DataFrame, num_levels: int = 10, column: str = "promoted_level", size: int = 10_000) -> DataFrame:
+    """(level, component, part, nodes): the vertices of each residue component in order, in lists of at most size, numbered from 0."""
+    rows = numbered(residue_components(edges, num_levels, column), [F.col("level").asc(), F.col("component").asc(), F.col("node").asc()])
+    rows = cut(rows)
+    first = rows.groupBy("level", "component").agg(F.min("place").alias("first"))
+    each = rows.join(first, ["level", "component"]).withColumn("part", F.floor((F.col("place") - F.col("first")) / size))
+    return each.groupBy("level", "component", "part").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
 
 
 def skeleton_vertices(edges: DataFrame, num_levels: int = 10, column: str = "promoted_level") -> DataFrame:
@@ -40,10 +74,10 @@ def _gather(df: DataFrame, key: list[str], num_levels: int) -> DataFrame:
 def label(edges: DataFrame, vertices: DataFrame, num_levels: int = 10) -> tuple[DataFrame, DataFrame]:
     """edges and vertices with their component arrays.
 
-    A residue edge's label is its component + 1, a skeleton edge's 1. A vertex has the label of its
-    residue component unless it touches the skeleton of that level.
+    A residue edge's label is its component's number + 1, a skeleton edge's 1. A vertex has the label
+    of its residue component unless it touches the skeleton of that level.
     """
-    parts = cut(residue_components(edges, num_levels).select("level", "node", (F.col("component") + 1).alias("label")))
+    parts = cut(residue_labels(edges, num_levels).select("level", "node", (F.col("label") + 1).alias("label")))
     each = edges.select("id", "source", "target", "promoted_level", F.explode(_levels(num_levels)).alias("level")).where(F.col("promoted_level") > F.col("level"))
     on_edges = each.join(parts.withColumnRenamed("node", "source"), ["level", "source"])
     of_edges = _gather(on_edges.select("id", "source", "target", "level", "label").distinct(), ["id", "source", "target"], num_levels)
@@ -57,12 +91,12 @@ def label(edges: DataFrame, vertices: DataFrame, num_levels: int = 10) -> tuple[
 
 def label_legacy(edges: DataFrame, vertices: DataFrame, num_levels: int = 10) -> tuple[DataFrame, DataFrame]:
     """The older labels: zeros where a level has no component, no + 1, and no reset on the skeleton."""
-    parts = cut(residue_components(edges, num_levels))
+    parts = cut(residue_labels(edges, num_levels))
     each = edges.select("id", "source", "target", "promoted_level", F.explode(_levels(num_levels)).alias("level")).where(F.col("promoted_level") > F.col("level"))
     zeros = F.array_repeat(F.lit(0), num_levels)
 
     def gather(df: DataFrame, *key: str) -> DataFrame:
-        picked = [F.coalesce(F.max(F.when(F.col("level") == k, F.col("component"))), F.lit(0)).cast("int") for k in range(1, num_levels + 1)]
+        picked = [F.coalesce(F.max(F.when(F.col("level") == k, F.col("label"))), F.lit(0)).cast("int") for k in range(1, num_levels + 1)]
         return df.groupBy(*key).agg(F.array(*picked).alias("component"))
 
     of_edges = gather(each.join(parts.withColumnRenamed("node", "source"), ["level", "source"]), "id", "source", "target")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.ranking import quantiles
+from graphloom.functions.ranking import FEW, quantiles
 
 EPSILON = 1e-10
 
 
-def caps(values: DataFrame, num_levels: int = 10, column: str = "betweenness") -> DataFrame:
+def caps(values: DataFrame, num_levels: int = 10, column: str = "betweenness", few: int = FEW) -> DataFrame:
     """One row: the num_levels + 1 bounds in falling order, the first raised and the last lowered by 1.
 
     Level k lies between bound k and bound k + 1. num_levels must divide 100, as the bounds stand at
@@ -19,9 +19,9 @@ def caps(values: DataFrame, num_levels: int = 10, column: str = "betweenness") -
     if num_levels < 1 or 100 % num_levels:
         raise ValueError("num_levels must divide 100")
     step = 100 // num_levels
-    at = quantiles(column, [i * step / 100 for i in range(num_levels, -1, -1)])
-    moved = F.transform(at, lambda x, i: x + F.when(i == 0, 1.0).when(i == num_levels, -1.0).otherwise(0.0))
-    return values.agg(moved.alias("caps"))
+    at = quantiles(values, column, [i * step / 100 for i in range(num_levels, -1, -1)], few=few)
+    moved = F.transform("q", lambda x, i: x + F.when(i == 0, 1.0).when(i == num_levels, -1.0).otherwise(0.0))
+    return at.select(moved.alias("caps"))
 
 
 def level_of(value: Column, bounds: Column, num_levels: int) -> Column:

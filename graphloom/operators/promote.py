@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.components import strong_components
+from graphloom.operators.components import strong_components, tarjan
 from graphloom.operators.csr import BROADCAST_EDGES
-from graphloom.operators.fixpoint import cut, numbered
+from graphloom.operators.fixpoint import ONE_TASK_EDGES, cut, forget, numbered
 from graphloom.operators.paths import path_edges, shared_graph
 
 log = logging.getLogger(__name__)
@@ -24,27 +27,40 @@ def residue(edges: DataFrame, level: int) -> DataFrame:
     return edges.where(F.col("promoted_level") > level)
 
 
-def connections(edges: DataFrame, level: int) -> DataFrame:
+def _circle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, target) of a whole skeleton to its connections."""
+    for found in tarjan(batches):
+        reps = np.unique(found.column(1).to_numpy())
+        if len(reps) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.roll(reps, -1).reshape(-1, 1).tolist(), pa.list_(pa.int64()))], names=["source", "targets"])
+
+
+def connections(edges: DataFrame, level: int, one_task: int = ONE_TASK_EDGES, count: int | None = None) -> DataFrame:
     """(source, targets): from the least vertex of each strong component of the skeleton to that of the next, in a circle.
 
     k components give k connections, one gives none. If paths join every pair, the skeleton is one
-    component.
+    component. ``count`` spares the count of edges where it is known.
     """
-    reps = cut(strong_components(skeleton(edges, level).select("source", "target")).select("component").distinct())
+    ends = skeleton(edges, level).select("source", "target")
+    if (edges.count() if count is None else count) <= one_task:
+        return ends.coalesce(1).mapInArrow(_circle, "source long, targets array<long>")
+    reps = cut(strong_components(ends).select("component").distinct())
     placed = cut(numbered(reps, [F.col("component").asc()]))
     follow = placed.select((F.col("place") - 1).alias("place"), F.col("component").alias("next"))
     least = reps.agg(F.min("component").alias("first"))
-    circle = placed.join(follow, "place", "left").crossJoin(F.broadcast(least))
+    circle = placed.join(follow, "place", "left").crossJoin(F.broadcast(least))  # one row
     pairs = circle.select(F.col("component").alias("source"), F.coalesce("next", "first").alias("target")).where("source <> target")
-    return pairs.groupBy("source").agg(F.array_sort(F.collect_list("target")).alias("targets"))
+    return pairs.select("source", F.array("target").alias("targets"))
 
 
-def promote_level(edges: DataFrame, level: int, broadcast_edges: int = BROADCAST_EDGES, graph: Broadcast | None = None) -> DataFrame:
+def promote_level(edges: DataFrame, level: int, broadcast_edges: int = BROADCAST_EDGES, graph: Broadcast | None = None, count: int | None = None) -> DataFrame:
     """edges whose ids lie on the connecting paths, both directions of a street, get promoted_level = level if theirs is higher."""
-    links = cut(connections(edges, level))
-    if links.isEmpty():
-        return edges
-    found = path_edges(edges, links, broadcast_edges, graph).select("id").distinct().withColumn("_hit", F.lit(True))
+    links = connections(edges, level, count=count)
+    if graph is None:
+        links = cut(links)
+        if links.isEmpty():
+            return edges
+    found = path_edges(edges, links.repartition("source"), broadcast_edges, graph).select("id").distinct().withColumn("_hit", F.lit(True))
     raised = F.when(F.col("_hit") & (F.col("promoted_level") > level), level).otherwise(F.col("promoted_level")).cast("int")
     out = cut(edges.join(found, "id", "left").withColumn("promoted_level", raised).select(*edges.columns))
     log.info("level %d is connected", level)
@@ -54,9 +70,12 @@ def promote_level(edges: DataFrame, level: int, broadcast_edges: int = BROADCAST
 def promote(edges: DataFrame, num_levels: int = 10, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """All levels from the highest on, as each starts from what the last promoted."""
     edges = cut(edges)
+    count = edges.count()
     graph = shared_graph(edges, broadcast_edges)  # paths run on all edges, which no level changes
     for level in range(1, num_levels + 1):
-        edges = promote_level(edges, level, broadcast_edges, graph)
+        before, edges = edges, promote_level(edges, level, broadcast_edges, graph, count)
+        if before is not edges:
+            forget(before)
     return edges
 
 

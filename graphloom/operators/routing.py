@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.csr import BROADCAST_EDGES, Graph, shortest_tree
 from graphloom.operators.fixpoint import cut
-from graphloom.operators.paths import distances_by_joins
 from graphloom.operators.update import zip_pairs
 
 
@@ -22,7 +21,7 @@ class TooLarge(ValueError):
 
 def random_pairs(vertices: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(source, target): two random samples of n vertices each, paired by place; pairs of one vertex are dropped."""
-    draw = lambda k: vertices.select("id", F.xxhash64("id", F.lit(seed), F.lit(k)).alias("_h")).orderBy("_h", "id").limit(n)
+    draw = lambda k: vertices.select("id", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.lit(str(k)))).alias("_h")).orderBy("_h", "id").limit(n)
     return zip_pairs(draw(0), draw(1), ("_h", "id")).where("source <> target").select("source", "target")
 
 
@@ -31,69 +30,89 @@ def routed_edges(edges: DataFrame, level: int, source_component: int, target_com
     return edges.where((F.col("promoted_level") <= level) | F.get("component", F.lit(level - 1)).isin(source_component, target_component))
 
 
+_SHAPE = "source long, target long, level int, num_edges int, num_vertices int, path_len double, graph_build_time double, avg_computation_time double"
+
+
 def routes(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, levels: list[int], num_levels: int = 10, iterations: int = 1, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """A row for each pair and level: source, target, level, num_edges and num_vertices of the routed subgraph, path_len, and seconds to build it and, on average, to search it.
+    """A row for each pair and level: source, target, level, num_edges and num_vertices of the routed subgraph, path_len, and seconds to build it and, on average of iterations, to search it.
 
-    At level num_levels the whole graph is routed. path_len is null without a path. Graphs beyond
-    broadcast_edges take ``routes_by_joins``.
+    At level num_levels the whole graph is routed. path_len is null without a path. The graph is one
+    set of arrays, and a route's subgraph a mark on each of its edges. Graphs beyond broadcast_edges
+    take ``routes_by_joins``.
     """
     edges = cut(edges.select("id", "source", "target", "cost", "promoted_level", "component"))
     if edges.count() > broadcast_edges:
         return routes_by_joins(edges, vertices, pairs, levels, num_levels)
-    t = edges.toArrow()
-    columns = [t.column(i).to_numpy() for i in range(5)]
-    parts = np.array(t.column(5).to_pylist(), np.int32).reshape(t.num_rows, -1)
-    shared = edges.sparkSession.sparkContext.broadcast((*columns, parts))
-    ends = vertices.select("id", "component")
-    asked = pairs.join(ends.select(F.col("id").alias("source"), F.col("component").alias("cs")), "source").join(ends.select(F.col("id").alias("target"), F.col("component").alias("ct")), "target")
-    asked = asked.select("source", "target", "cs", "ct", F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"))
+    t = edges.toArrow().combine_chunks()
+    g = Graph.of(*(t.column(i).to_numpy() for i in range(4)))
+    promoted = t.column(4).to_numpy()[g.order]
+    flat = [np.asarray(c.flatten()) for c in t.column(5).chunks]
+    parts = np.concatenate([np.zeros(0, np.int32), *flat]).astype(np.int32).reshape(-1, num_levels)[g.order]
+    shared = edges.sparkSession.sparkContext.broadcast((g, promoted, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge_id, source, target, cost, promoted, parts = shared.value
+        g, promoted, parts = shared.value
+        lists = g.lists()
         for batch in batches:
             rows = []
-            for s, e, cs, ct, level in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for s, e, level, cs, ct in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 began = time.perf_counter()
-                some = np.ones(len(cost), bool)
+                some = np.ones(len(g.cost), bool)
                 if level != num_levels:
-                    some = (promoted <= level) | (parts[:, level - 1] == cs[level - 1]) | (parts[:, level - 1] == ct[level - 1])
-                g = Graph.of(edge_id[some], source[some], target[some], cost[some])
-                lists, u, v = g.lists(), g.code(s), g.code(e)
+                    some = (promoted <= level) | (parts[:, level - 1] == cs) | (parts[:, level - 1] == ct)
+                met = np.zeros(len(g.ids), bool)
+                met[g.tail[some]] = met[g.head[some]] = True
+                u, v, only = g.code(s), g.code(e), some.tobytes()
                 built = time.perf_counter()
                 found = None
                 for _ in range(iterations):
-                    if u >= 0 and v >= 0:
-                        found = shortest_tree(lists, u, {v})[0].get(v)
-                rows.append((s, e, level, len(g.cost), len(g.ids), found, built - began, (time.perf_counter() - built) / iterations))
+                    if u >= 0 and v >= 0 and met[u] and met[v]:
+                        found = shortest_tree(lists, u, {v}, only)[0].get(v)
+                rows.append((s, e, level, int(some.sum()), int(met.sum()), found, built - began, (time.perf_counter() - built) / iterations))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-            names = ["source", "target", "level", "num_edges", "num_vertices", "path_len", "graph_build_time", "avg_computation_time"]
+            names = [c.split()[0] for c in _SHAPE.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    shape = "source long, target long, level int, num_edges int, num_vertices int, path_len double, graph_build_time double, avg_computation_time double"
-    return asked.repartition("source", "target", "level").mapInArrow(run, shape)
+    return _asked(vertices, pairs, levels).repartition("source", "target", "level").mapInArrow(run, _SHAPE)
 
 
-def routes_by_joins(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, levels: list[int], num_levels: int = 10) -> DataFrame:
-    """The same by a search of each pair's own subgraph in joins: vertices are tagged by pair and level, for graphs that no task can hold."""
+def _asked(vertices: DataFrame, pairs: DataFrame, levels: list[int]) -> DataFrame:
+    """(source, target, level, cs, ct): a row for each pair and level, with the labels of both ends at that level."""
     ends = vertices.select("id", "component")
     asked = pairs.join(ends.select(F.col("id").alias("source"), F.col("component").alias("cs")), "source").join(ends.select(F.col("id").alias("target"), F.col("component").alias("ct")), "target")
-    asked = cut(asked.select("source", "target", F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"), "cs", "ct").withColumn("ask", F.monotonically_increasing_id()))
-    out = None
-    for row in asked.select("ask", "source", "target", "level", F.get("cs", F.col("level") - 1).alias("cs"), F.get("ct", F.col("level") - 1).alias("ct")).collect():  # the sampled pairs
-        began = time.perf_counter()
-        some = cut(edges if row["level"] == num_levels else routed_edges(edges, row["level"], row["cs"], row["ct"]))
-        sizes = some.agg(F.count("*").cast("int").alias("num_edges")).crossJoin(some.select(F.explode(F.array("source", "target")).alias("v")).agg(F.countDistinct("v").cast("int").alias("num_vertices")))
-        built = time.perf_counter()
-        start = edges.sparkSession.createDataFrame([(row["source"],)], "id long")
-        far = distances_by_joins(some, start).where(F.col("node") == row["target"]).agg(F.min("distance").alias("path_len"))
-        one = cut(sizes.crossJoin(far))
-        done = time.perf_counter()
-        keys = [F.lit(row["source"]).cast("long").alias("source"), F.lit(row["target"]).cast("long").alias("target"), F.lit(row["level"]).cast("int").alias("level")]
-        one = one.select(*keys, "num_edges", "num_vertices", "path_len", F.lit(built - began).alias("graph_build_time"), F.lit(done - built).alias("avg_computation_time"))
-        out = one if out is None else out.union(one)
-    if out is None:
-        return edges.sparkSession.createDataFrame([], "source long, target long, level int, num_edges int, num_vertices int, path_len double, graph_build_time double, avg_computation_time double")
-    return out
+    asked = asked.select("source", "target", F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"), "cs", "ct")
+    return asked.select("source", "target", "level", *[F.get(c, F.col("level") - 1).alias(c) for c in ("cs", "ct")])
+
+
+def routes_by_joins(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, levels: list[int], num_levels: int = 10) -> DataFrame:
+    """The same for graphs that no task can hold: one relaxation runs for all pairs and levels, on vertices tagged by their route.
+
+    The times are those of the whole, shared out among the routes.
+    """
+    began = time.perf_counter()
+    asks = cut(_asked(vertices, pairs, levels).withColumn("ask", F.monotonically_increasing_id()))
+    allowed = (F.col("level") == num_levels) | (F.col("promoted_level") <= F.col("level")) | F.get("component", F.col("level") - 1).isin(F.col("cs"), F.col("ct"))
+    edges = edges.select("source", "target", "cost", "promoted_level", "component")
+    terms = F.broadcast(asks.select("ask", "level", "cs", "ct"))
+    routed = edges.crossJoin(terms).where(allowed)  # the stated routes against all edges
+    counts = cut(routed.groupBy("ask").agg(F.count("*").cast("int").alias("num_edges")))
+    met = cut(routed.select("ask", F.explode(F.array("source", "target")).alias("node")).distinct().groupBy("ask").agg(F.count("*").cast("int").alias("num_vertices")))
+    built = time.perf_counter()
+    best = front = cut(asks.select("ask", F.col("source").alias("node"), F.lit(0.0).alias("distance")))
+    while True:
+        step = front.join(terms, "ask").join(edges, F.col("node") == edges["source"]).where(allowed)
+        near = step.groupBy("ask", edges["target"].alias("node")).agg(F.min(F.col("distance") + F.col("cost")).alias("distance"))
+        old = best.select("ask", "node", F.col("distance").alias("old"))
+        front = cut(near.join(old, ["ask", "node"], "left").where("old is null or distance < old").select("ask", "node", "distance"))
+        if front.isEmpty():
+            break
+        best = cut(best.union(front).groupBy("ask", "node").agg(F.min("distance").alias("distance")))
+    done = time.perf_counter()
+    n = max(1, asks.count())
+    far = best.select("ask", F.col("node").alias("target"), F.col("distance").alias("path_len"))
+    out = asks.join(counts, "ask", "left").join(met, "ask", "left").join(far, ["ask", "target"], "left")
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("num_edges", "num_vertices")]
+    return out.select("source", "target", "level", *none, "path_len", F.lit((built - began) / n).alias("graph_build_time"), F.lit((done - built) / n).alias("avg_computation_time"))
 
 
 def route_quality(found: DataFrame, num_levels: int = 10, total_edges: int | None = None) -> DataFrame:

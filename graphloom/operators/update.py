@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.fixpoint import numbered
+
 
 def update_from(into: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """into with columns taken from the row of equal keys, where there is one; of several rows the least counts."""
@@ -36,10 +38,7 @@ def touching(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def zip_pairs(starts: DataFrame, ends: DataFrame, order: Sequence[str]) -> DataFrame:
-    """(place, source, target): the i-th of starts (id) with the i-th of ends (id); both are small samples, numbered in order."""
-    from pyspark.sql import Window
-
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.row_number().over(Window.orderBy(*order)).alias("place"), F.col("id").alias(name))
-
-    return numbered(starts, "source").join(numbered(ends, "target"), "place")
+    """(place, source, target): the i-th of starts (id) with the i-th of ends (id), both in order."""
+    keys = [F.col(c).asc() for c in order]
+    left, right = (numbered(df, keys).select("place", F.col("id").alias(name)) for df, name in ((starts, "source"), (ends, "target")))
+    return left.join(right, "place")

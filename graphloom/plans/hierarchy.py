@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -25,6 +25,8 @@ class Hierarchy:
     edges: DataFrame
     vertices: DataFrame
     num_levels: int
+    #: What the stages said, in order.
+    notices: list[str] = field(default_factory=list)
 
 
 def ranked_edges(ways: DataFrame, num_levels: int = 10, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -41,13 +43,19 @@ def ranked_edges(ways: DataFrame, num_levels: int = 10, sources: DataFrame | Non
 
 def build_hierarchy(ways: DataFrame, num_levels: int = 10, verify: bool = True, sources: DataFrame | None = None) -> Hierarchy:
     """Cleaning, betweenness, levels, promotion and labels; with verify, broken invariants raise."""
-    began = time.perf_counter()
+    began, notices = time.perf_counter(), []
+
+    def notice(stage: str) -> None:
+        notices.append(stage)
+        log.info("%s after %.1f s", stage, time.perf_counter() - began)
+
     edges, vertices = ranked_edges(ways, num_levels, sources)
-    log.info("levels after %.1f s", time.perf_counter() - began)
+    notice("levels")
     edges = promote(edges, num_levels)
-    log.info("promotion after %.1f s", time.perf_counter() - began)
+    notice("promotion")
     edges, vertices = (cut(df) for df in label(edges, vertices, num_levels))
+    notice("labels")
     if verify:
         checks.require(checks.skeleton_strongly_connected(edges, num_levels), checks.skeleton_comp_id(edges, num_levels), checks.edge_count(edges, num_levels), checks.vertex_count(vertices, num_levels))
-    log.info("labels after %.1f s", time.perf_counter() - began)
-    return Hierarchy(edges, vertices, num_levels)
+        notice("checks")
+    return Hierarchy(edges, vertices, num_levels, notices)

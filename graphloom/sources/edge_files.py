@@ -47,6 +47,22 @@ def loaded_vertices(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array("source", "target")).alias("id")).distinct()
 
 
+def six_digits(value: Column) -> Column:
+    """A double as a C++ stream writes it: six significant digits, no zeros at the end, an exponent below 1e-4 and from 1e6 on."""
+    value = value.cast("double")
+    size = F.floor(F.log10(F.abs(value)))
+    # a value that rounds up to the next power of ten has one digit more before its point
+    size = F.when(F.round(F.abs(value) / F.pow(F.lit(10.0), size), 5) >= 10, size + 1).otherwise(size)
+    bare = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    scaled = bare(F.round(value / F.pow(F.lit(10.0), size), 5).cast("decimal(20,5)").cast("string"))
+    exponent = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
+    plain = F.lit(None).cast("string")
+    for k in range(-4, 6):
+        plain = F.when(size == k, bare(F.round(value, 5 - k).cast("decimal(20,10)").cast("string"))).otherwise(plain)
+    special = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").when(value == 0, "0")
+    return F.when(special.isNotNull(), special).when(size.between(-4, 5), plain).otherwise(F.concat(scaled, exponent))
+
+
 def brace_list(values: Column) -> Column:
     """An array as {1, 2, 3}."""
     return F.concat(F.lit("{"), F.array_join(values.cast("array<string>"), ", "), F.lit("}"))
@@ -58,15 +74,20 @@ def parse_brace_list(text: Column) -> Column:
 
 
 def write_results(edges: DataFrame, path: str, levels: int = 10, digits: int | None = None) -> None:
-    """id, source, target, betweenness, level, "{1, 1, ...}" without a header; digits rounds betweenness to significant digits."""
-    value = F.col("betweenness")
-    if digits is not None:
-        size = F.when(value == 0, 0).otherwise(F.floor(F.log10(F.abs(value)))).cast("int")
-        value = F.round(value * F.pow(F.lit(10.0), digits - 1 - size)) / F.pow(F.lit(10.0), digits - 1 - size)
+    """id, source, target, betweenness, level, "{1, 1, ...}" without a header; with digits=6 betweenness is written as C++ streams write it."""
+    if digits not in (None, 6):
+        raise ValueError("digits must be None or 6")
+    value = F.col("betweenness") if digits is None else six_digits(F.col("betweenness"))
     ones = brace_list(F.array_repeat(F.lit(1), levels))
     edges.select("id", "source", "target", value.alias("betweenness"), "level", ones.alias("component")).write.mode("overwrite").csv(path, quote='"', escape='"')
 
 
+def print_results(edges: DataFrame) -> DataFrame:
+    """(id, source, target, line): each edge's result as a line to print."""
+    named = [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("id", "source", "target")]
+    return edges.select("id", "source", "target", F.concat_ws(", ", *named, F.concat(F.lit("betweenness: "), six_digits(F.col("betweenness")))).alias("line"))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(id, source, target, betweenness, level, component) of a result file."""
     rows = spark.read.schema("id long, source long, target long, betweenness double, level int, component string").csv(path, quote='"', escape='"')
@@ -81,5 +102,5 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def adjacency_text(edges: DataFrame) -> DataFrame:
     """(source, line): the dump's line of each vertex, "source: target(id,cost) ..."."""
-    one = lambda e: F.concat(e["target"].cast("string"), F.lit("("), e["id"].cast("string"), F.lit(","), e["cost"].cast("long").cast("string"), F.lit(")"))
+    one = lambda e: F.concat(e["target"].cast("string"), F.lit("("), e["id"].cast("string"), F.lit(","), six_digits(e["cost"]), F.lit(")"))
     return adjacency(edges).select("source", F.concat(F.col("source").cast("string"), F.lit(": "), F.array_join(F.transform("edges", one), " ")).alias("line"))
