@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema
@@ -13,8 +15,8 @@ from graphloom.functions.ranking import first_in_order, ordered, quantiles, rank
 from graphloom.operators import checks
 from graphloom.operators.betweenness import edge_betweenness, sample_sources
 from graphloom.operators.components import component_sizes, largest_component, strong_components
-from graphloom.operators.fixpoint import cut, numbered, weak_components
-from graphloom.operators.label import border_nodes, catalog, label, label_legacy, residue_components, skeleton_vertices
+from graphloom.operators.fixpoint import cut, numbered, remove, shared_folder, weak_components
+from graphloom.operators.label import at_level, border_nodes, catalog, component_members, label, label_legacy, residue_components, skeleton_vertices, split_level
 from graphloom.operators.levels import with_levels
 from graphloom.operators.paths import distances, path_edges
 from graphloom.operators.preprocess import clean, directed_edges
@@ -23,9 +25,9 @@ from graphloom.operators.routing import random_pairs, route_quality, routes
 from graphloom.operators.update import in_components, load_results, touching, update_from, zip_pairs
 from graphloom.plans import oracles
 from graphloom.plans.hierarchy import Hierarchy, build_hierarchy
-from graphloom.plans.networks import streets, trade
-from graphloom.sources.edge_files import adjacency_text, directed, loaded_vertices, parse_edge_lines, read_results, write_results
-from graphloom.sources.tables import drop_temporary, insert, scan, temporary
+from graphloom.plans.networks import HOME, NATION_BASE, network, streets, trade
+from graphloom.sources.edge_files import adjacency_text, directed, loaded_vertices, parse_edge_lines, print_results, read_results, write_results
+from graphloom.sources.tables import drop_temporary, insert, jdbc, replace, scan, temporary
 
 LEVELS = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +80,8 @@ def vertex_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def adjacency_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adjacency_text(_plain_edges(spark, sf_dir))
+    """With fractional costs, as the dump writes six digits."""
+    return adjacency_text(_plain_edges(spark, sf_dir).withColumn("cost", F.col("cost") / 8))
 
 
 @query
@@ -101,17 +104,64 @@ def csv_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A result file written to the shared folder and read again."""
-    import uuid
+def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets as lines of every odd shape: blank, too short, too long, with a trailing separator, with numbers that end in letters or are none, a header, with CRLF."""
+    five = ("gid", "source", "target", "cost", "reverse_cost")
+    join = lambda *parts: F.concat_ws(",", *parts)
+    shapes = [F.lit(""), join(*five[:3]), join(*five, F.lit("7")), join(*five[:4], F.lit("")), join(*five[:3], F.lit("12abc")), join(*five[:3], F.lit("abc")), F.lit("id,source,target,cost"), F.concat(join(*five), F.lit("\r")), join(*five)]
+    line = F.element_at(F.array(*shapes), F.pmod("gid", F.lit(len(shapes))).cast("int") + 1)
+    return directed(parse_edge_lines(streets(spark, sf_dir).select(line.alias("value"))))
+
+
+def _path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
 
-    from graphloom.operators.fixpoint import cut as _cut
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+@query
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result file written to the shared folder and read again."""
     edges = _plain_edges(spark, sf_dir).withColumns({"betweenness": F.col("cost") / 8, "level": F.lit(3)})
-    path = f"{folder.rstrip('/')}/results-{uuid.uuid4().hex}"
+    path = _path(spark)
     write_results(edges, path, LEVELS)
-    return _cut(read_results(spark, path).withColumn("component", F.array_join("component", ",")))
+    out = cut(read_results(spark, path).withColumn("component", F.array_join("component", ",")))
+    remove(spark, path)
+    return out
+
+
+@query
+def six_digit_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result file with six significant digits, read again."""
+    path = _path(spark)
+    write_results(_plain_edges(spark, sf_dir).withColumns({"betweenness": F.col("cost") / 7, "level": F.lit(3)}), path, LEVELS, digits=6)
+    out = cut(read_results(spark, path).select("id", "source", "target", "betweenness"))
+    remove(spark, path)
+    return out
+
+
+@query
+def printed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return print_results(_plain_edges(spark, sf_dir).withColumn("betweenness", reduce(Column.__mul__, [F.col("cost")] * 5) / 7))
+
+
+@query
+def replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partitioned table that is written and then replaced."""
+    path = _path(spark)
+    edges = _plain_edges(spark, sf_dir).withColumn("part", F.pmod("source", F.lit(4)).cast("int"))
+    replace(edges, path, "part")
+    replace(edges.where("cost >= 12"), path, "part")
+    out = cut(spark.read.parquet(path).select("id", "source", "target", "cost", "part"))
+    remove(spark, path)
+    return out
+
+
+@query
+def suppliers_by_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers through an embedded database, which lies in the memory of one JVM: for local sessions."""
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
+    rows = scan(spark, sf_dir, "supplier").select((F.col("s_suppkey").cast("long") + 1).alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation"))
+    rows.write.format("jdbc").options(url=url, dbtable="suppliers").save()
+    return cut(jdbc(spark, url, "suppliers").toDF("id", "name", "nation"))
 
 
 @query
@@ -153,6 +203,33 @@ def loaded_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("id", "source", "target", "betweenness", "level", "promoted_level", F.size("component").alias("n_component"))
 
 
+@query
+def vertex_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices' side of a load table: many rows a vertex, of which the least counts."""
+    edges = schema.conform(_plain_edges(spark, sf_dir), schema.EDGES)
+    vertices = schema.conform(edges.select(F.explode(F.array("source", "target")).alias("id")).distinct(), schema.VERTICES)
+    component = F.array(F.col("cost").cast("int"), F.col("cost").cast("int") + 1)
+    results = edges.where("cost >= 12").select("id", "source", "target", F.lit(1.0).alias("betweenness"), F.lit(4).alias("level"), component.alias("component"))
+    return load_results(edges, vertices, results)[1].select("id", F.array_join("component", ",").alias("component"))
+
+
+def _drawn_streets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and vertices of the cleaned streets, cleaned with geometry on both; every third vertex has none."""
+    ways = streets(spark, sf_dir).withColumn("the_geom", F.concat(F.lit("line "), "gid").cast("binary"))
+    ends = loaded_vertices(ways).withColumn("the_geom", F.when(F.pmod("id", F.lit(3)) != 0, F.concat(F.lit("point "), "id")).cast("binary"))
+    return clean(ways, ends)
+
+
+@query
+def geometry_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn_streets(spark, sf_dir)[0].select("id", "source", "target", F.col("the_geom").cast("string").alias("geom"))
+
+
+@query
+def geometry_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn_streets(spark, sf_dir)[1].select("id", F.col("the_geom").cast("string").alias("geom"))
+
+
 @query
 def touched_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices on either end of a cheap edge: a disjunctive join as a semi-join on the union of ends."""
@@ -235,7 +312,9 @@ def orderhigh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quantile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = scan(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(quantiles("l_quantity", oracles.QUANTILES).alias("q"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    items = scan(spark, sf_dir, "lineitem")
+    ends = items.groupBy("l_returnflag").agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    q = quantiles(items, "l_quantity", oracles.QUANTILES, ("l_returnflag",)).join(F.broadcast(ends), "l_returnflag")  # three flags
     return q.select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(len(oracles.QUANTILES))], "least", "most")
 
 
@@ -244,7 +323,16 @@ def quantile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strong_components(_plain_edges(spark, sf_dir).where("cost <= 13").select("source", "target"))
+    return strong_components(_plain_edges(spark, sf_dir).select("source", "target"))
+
+
+@query
+def skeleton_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong components of every level's skeleton before promotion, all in one pass."""
+    each = _levelled(spark, sf_dir).select("source", "target", F.explode(F.sequence(F.col("level"), F.lit(LEVELS))).alias("level"))
+    found = strong_components(each.select(*[at_level(F.col(c), F.col("level")).alias(c) for c in ("source", "target")]))
+    (node, level), (component, _) = split_level(F.col("node")), split_level(F.col("component"))
+    return found.select(level.alias("level"), node.alias("node"), component.alias("component"))
 
 
 @query
@@ -270,8 +358,7 @@ def wcc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wcc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the weak components of the cheapest edges."""
-    return component_sizes(weak_components(directed_edges(streets(spark, sf_dir)).where("cost <= 1")))
+    return component_sizes(weak_components(directed_edges(streets(spark, sf_dir))))
 
 
 # Paths, betweenness, levels
@@ -279,8 +366,9 @@ def wcc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def all_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every nation to all vertices."""
     edges = _plain_edges(spark, sf_dir)
-    return distances(edges, edges.select(F.col("source").alias("id")).distinct())
+    return distances(edges, edges.select(F.col("source").alias("id")).distinct().where(F.col("id") > NATION_BASE))
 
 
 @query
@@ -291,10 +379,10 @@ def sssp_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def path_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shortest path of every pair of vertices, edge by edge, summed up; its edges follow one another."""
+    """A shortest path between each supplier and its nation, both ways, edge by edge, summed up; its edges follow one another."""
     edges = cut(_plain_edges(spark, sf_dir))
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    asked = edges.select("source").distinct().crossJoin(F.broadcast(ends.agg(F.array_sort(F.collect_list("id")).alias("targets"))))  # one row of vertices, as many as sources
+    asked = network(spark, sf_dir, HOME).groupBy("source").agg(F.collect_set("target").alias("targets"))
+    asked = asked.repartition(spark.sparkContext.defaultParallelism, "source")
     found = path_edges(edges, asked)
     linked = F.array_sort(F.collect_list(F.struct("seq", "source", "target")))
     steps = found.groupBy("start", "end").agg(F.sum("cost").alias("distance"), F.count("*").alias("hops"), linked.alias("p"))
@@ -307,6 +395,12 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir)
 
 
+@query
+def betweenness_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in one task."""
+    return edge_betweenness(_plain_edges(spark, sf_dir), parts=1).withColumn("betweenness", F.round("betweenness", 6))
+
+
 @query
 def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimate from a square root of all vertices; a sampling operator."""
@@ -381,6 +475,13 @@ def component_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(_levelled(spark, sf_dir), LEVELS)
 
 
+@query
+def component_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices of each component above each level, in lists of 50."""
+    found = component_members(_levelled(spark, sf_dir), LEVELS, "level", size=50)
+    return found.select("level", "component", "part", F.array_join("nodes", ",").alias("nodes"))
+
+
 @query
 def boundary_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return border_nodes(_levelled(spark, sf_dir), LEVELS)
@@ -390,7 +491,25 @@ def boundary_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hierarchy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build, from streets to labels."""
     built = _hierarchy(spark, sf_dir)
-    return built.edges.select("id", "source", "target", "cost", "betweenness", "level", "promoted_level", F.array_join("component", ",").alias("component"))
+    return built.edges.select("id", "source", "target", "cost", F.round("betweenness", 6).alias("betweenness"), "level", "promoted_level", F.array_join("component", ",").alias("component"))
+
+
+@query
+def hierarchy_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hierarchy(spark, sf_dir).vertices.select("id", F.array_join("component", ",").alias("component"))
+
+
+@query
+def hierarchy_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of the finished hierarchy."""
+    return catalog(_hierarchy(spark, sf_dir).edges, LEVELS)
+
+
+@query
+def build_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a verified build says, in order."""
+    said = build_hierarchy(trade(spark, sf_dir), LEVELS).notices
+    return spark.createDataFrame(list(enumerate(said, 1)), "place long, stage string")
 
 
 @query
@@ -461,6 +580,14 @@ def hier_route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes(built.edges, built.vertices, pairs, list(range(1, LEVELS + 1)), LEVELS).drop("graph_build_time", "avg_computation_time")
 
 
+@query
+def route_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both times of each route, searched three times, were taken."""
+    built = _hierarchy(spark, sf_dir)
+    found = routes(built.edges, built.vertices, random_pairs(built.vertices, 20, seed=1), [LEVELS], LEVELS, iterations=3)
+    return found.select("source", "target", "level", ((F.col("graph_build_time") >= 0) & (F.col("avg_computation_time") >= 0)).alias("timed"))
+
+
 @query
 def hier_route_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = _hierarchy(spark, sf_dir)

@@ -32,7 +32,13 @@ FROM (
   GROUP BY l_suppkey, c_nationkey) pairs
 """
 
-TABLES = ("lineitem", "orders", "customer")
+#: Pairs of vertices of ``trade``: each supplier with its own nation, and back.
+HOME = f"""
+SELECT s_suppkey + 1 AS source, {NATION_BASE} + CAST(s_nationkey AS BIGINT) AS target FROM supplier
+UNION ALL SELECT {NATION_BASE} + CAST(s_nationkey AS BIGINT), s_suppkey + 1 FROM supplier
+"""
+
+TABLES = ("lineitem", "orders", "customer", "supplier")
 
 
 def network(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
