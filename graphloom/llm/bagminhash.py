@@ -44,7 +44,7 @@ SIZE = BANDS * ROWS
 #: Pairs whose sketches agree in less than this share are apart: 6 deviations below 0.8.
 MAYBE = 0.65
 #: Rows and shingles of a block; at most two blocks meet in one task.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 100_000
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 50_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -4,7 +4,8 @@
 grows with a group's size where its members are alike:
 
 1. each block of a group is searched by itself;
-2. of each set of linked rows one represents it in a second search over all blocks of the group;
+2. of each set of linked rows one represents it in further searches, which deal the representatives
+   into blocks anew as long as that halves the number of sets;
 3. where a group still has several sets, the rows outside its largest set meet all its rows.
 
 A group of one block takes the first step alone. No step leaves out a pair of different sets, and no
@@ -160,15 +161,22 @@ def linked(members: DataFrame, key: str, kernel: Callable[[pa.Table], Alike], pa
     wide = members.where("parts > 1")
     if wide.isEmpty():
         return links
-    links = cut(links)
-    labels = cut(weak_components(links).select("node", F.col("component").alias("label")))
-    named = cut(wide.select(key, "node", "parts").join(labels, "node", "left").select(key, "node", "parts", F.coalesce("label", "node").alias("label")))
-    sets = named.groupBy(key, "label").agg(F.min("node").alias("node"))
-    many = sets.groupBy(key).agg(F.ceil(F.count("*") / block).alias("parts"))
-    chosen = sets.join(many, key).join(wide.select(key, "node", *payload), [key, "node"])
-    links = cut(links.union(_in_units(plain(chosen.drop("label").withColumn("a", own)), key, kernel, False, rows, payload)))
-    labels = cut(weak_components(links).select("node", F.col("component").alias("label")))
-    named = cut(wide.select(key, "node", "parts").join(labels, "node", "left").select(key, "node", "parts", F.coalesce("label", "node").alias("label")))
+    links, turn, before = cut(links), 0, None
+    while True:
+        labels = weak_components(links).select("node", F.col("component").alias("label"))
+        named = cut(wide.select(key, "node", "parts").join(labels, "node", "left").select(key, "node", "parts", F.coalesce("label", "node").alias("label")))
+        sets = named.groupBy(key, "label").agg(F.min("node").alias("node"))
+        many = cut(sets.groupBy(key).agg(F.count("*").alias("sets")).where("sets > 1"))
+        left, most = many.agg(F.coalesce(F.sum("sets"), F.lit(0)), F.coalesce(F.max("sets"), F.lit(0))).first()
+        if not left:
+            return links
+        if before and (2 * left > before or most <= block):
+            break
+        # representatives are dealt anew while that halves the sets, as it does where most are alike
+        before, turn = left, turn + 1
+        chosen = sets.join(many, key).join(wide.select(key, "node", *payload), [key, "node"])
+        chosen = chosen.withColumn("a", F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("sets") / block).cast("long")))
+        links = cut(links.union(_in_units(plain(chosen.drop("label")), key, kernel, False, rows, payload)))
     sizes = cut(named.groupBy(key, "label").agg(F.count("*").alias("n")))
     main = sizes.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
     open_ = named.join(main, key)

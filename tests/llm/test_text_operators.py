@@ -229,12 +229,13 @@ def test_a_clique_costs_a_comparison_a_row():
     assert len(forest(5000, near)) == 4998 and len(calls) <= 502
 
 
-def test_blocks_lose_no_link(spark):
+@pytest.mark.parametrize("parts,block", [(4, 16), (20, 2)])
+def test_blocks_lose_no_link(spark, parts, block):
     rng = np.random.default_rng(5)
     rows, want = [], []
     for key in range(3):
         at = np.cumsum(rng.integers(1, 4, 60)) + 1000 * key
-        rows += [(key, int(a), 4, int(a)) for a in at]
+        rows += [(key, int(a), parts, int(a)) for a in at]
         want += [(int(a), int(b)) for a in at for b in at if 0 < b - a <= 2]
 
     def kernel(t):
@@ -242,7 +243,7 @@ def test_blocks_lose_no_link(spark):
         return lambda i, s, e: np.abs(place[s:e] - place[i]) <= 2
 
     members = spark.createDataFrame(rows, "key long, node long, parts long, place long").checkpoint()
-    got = [(r.source, r.target) for r in linked(members, "key", kernel, ("place",), 16).collect()]
+    got = [(r.source, r.target) for r in linked(members, "key", kernel, ("place",), block).collect()]
     nodes = {n: k for k, (_, n, *_) in enumerate(rows)}
     assert cases.components(len(rows), [(nodes[a], nodes[b]) for a, b in got]) == cases.components(len(rows), [(nodes[a], nodes[b]) for a, b in want])
 
