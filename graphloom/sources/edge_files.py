@@ -48,7 +48,7 @@ def loaded_vertices(rows: DataFrame) -> DataFrame:
 
 
 def six_digits(value: Column) -> Column:
-    """A double as a C++ stream writes it: six significant digits, no zeros at the end, an exponent below 1e-4 and from 1e6 on."""
+    """A double as a C++ stream writes it: six significant digits, no zeros at the end, an exponent below 1e-4 and from 1e6 on. Halves are rounded by the shortest decimal spelling."""
     value = value.cast("double")
     size = F.floor(F.log10(F.abs(value)))
     # a value that rounds up to the next power of ten has one digit more before its point

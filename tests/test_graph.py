@@ -4,17 +4,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import schema
+from graphloom.functions.ranking import quantiles
 from graphloom.operators import checks
 from graphloom.operators.betweenness import edge_betweenness, sample_sources
 from graphloom.operators.components import largest_component, strong_components
-from graphloom.operators.fixpoint import weak_components
-from graphloom.operators.label import border_nodes, catalog, label_legacy, residue_components
+from graphloom.operators.fixpoint import cut, forget, numbered, scratch, shared_folder, weak_components
+from graphloom.operators.label import border_nodes, catalog, component_members, label, label_legacy, residue_components
 from graphloom.operators.levels import caps, with_levels
 from graphloom.operators.paths import distances, path_edges
 from graphloom.operators.preprocess import clean, directed_edges
-from graphloom.operators.promote import connections, promote_level, promotion_summary
+from graphloom.operators.promote import connections, promote, promote_level, promotion_summary
 from graphloom.operators.routing import random_pairs, route_quality, routes
-from graphloom.operators.update import load_results
+from graphloom.operators.update import load_results, zip_pairs
 from graphloom.plans.hierarchy import build_hierarchy, ranked_edges
 from tests import model
 
@@ -223,3 +224,93 @@ def test_results_update_edges_and_vertices(spark):
     got = {(r.id, r.source): (r.betweenness, r.level, r.promoted_level, list(r.component)) for r in new.collect()}
     assert got[(1, 1)] == (99.0, 3, 3, [7]) and got[(1, 2)][0] == 2.0
     assert {r.id: list(r.component) for r in seen.collect()}[1] == [7]
+
+
+def ring_with_chords(seed, n=12, m=16):
+    """A strongly connected graph with levels."""
+    rng = random.Random(seed)
+    rows = [(100 + k, k + 1, (k + 1) % n + 1, rng.randint(1, 3)) for k in range(n)] + [(200 + k, *rng.sample(range(1, n + 1), 2), rng.randint(1, 4)) for k in range(m)]
+    return rows, [rng.randint(1, 5) for _ in rows]
+
+
+@pytest.mark.parametrize("seed,limit", [(0, 1000), (1, 1000), (2, 0)])
+def test_promotion_and_routes_match_the_model(spark, seed, limit):
+    rows, level = ring_with_chords(seed) if limit else ring_with_chords(seed, 6, 5)
+    made = [(*r[:3], float(r[3]), x, x) for r, x in zip(rows, level, strict=True)]
+    edges = spark.createDataFrame(made, "id long, source long, target long, cost double, level int, promoted_level int")
+    out = cut(promote(edges, 5, limit))
+    final = model.promote(rows, level, 5)
+    assert {(r.id, r.source, r.target): r.promoted_level for r in out.collect()} == {r[:3]: x for r, x in zip(rows, final, strict=True)}
+    names = spark.createDataFrame([(v,) for v in model.vertices(rows)], "id long")
+    marked, seen = (cut(df) for df in label(out, names, 5))
+    of_edges, of_vertices = model.labels(rows, final, 5)
+    assert {(r.id, r.source, r.target): list(r.component) for r in marked.collect()} == {r[:3]: x for r, x in zip(rows, of_edges, strict=True)}
+    assert {r.id: list(r.component) for r in seen.collect()} == of_vertices
+    pairs = [(1, 5), (5, 2), (6, 3)]
+    found = routes(marked, seen, spark.createDataFrame(pairs, "source long, target long"), [1, 2, 3, 4, 5], 5, broadcast_edges=limit)
+    got = {(r.source, r.target, r.level): (r.num_edges, r.num_vertices, r.path_len) for r in found.collect()}
+    assert got == {(a, b, k): model.route(rows, final, 5, a, b, k) for a, b in pairs for k in range(1, 6)}
+
+
+def test_large_vertex_ids(spark):
+    far = 3_000_000_000_000_000
+    rows, level = ring_with_chords(3)
+    moved = [(i, s * far, t * far, c) for i, s, t, c in rows]
+    made = [(*r[:3], float(r[3]), x) for r, x in zip(moved, level, strict=True)]
+    edges = spark.createDataFrame(made, "id long, source long, target long, cost double, promoted_level int")
+    names = spark.createDataFrame([(v,) for v in model.vertices(moved)], "id long")
+    got = {(r.id, r.source, r.target): list(r.component) for r in label(edges, names, 5)[0].collect()}
+    assert got == {r[:3]: x for r, x in zip(moved, model.labels(moved, level, 5)[0], strict=True)}
+    with pytest.raises(Exception, match="vertex ids must lie within"):
+        residue_components(edges.withColumn("source", F.col("source") * 30), 5).collect()
+
+
+def test_members_come_in_bounded_lists(spark):
+    rows, level = ring_with_chords(4)
+    made = [(*r[:3], float(r[3]), x) for r, x in zip(rows, level, strict=True)]
+    edges = spark.createDataFrame(made, "id long, source long, target long, cost double, promoted_level int")
+    lists = sorted(((r.level, r.component, r.part), list(r.nodes)) for r in component_members(edges, 5, size=3).collect())
+    got = {}
+    for (k, c, part), nodes in lists:
+        assert len(nodes) <= 3 and len(got.setdefault((k, c), [])) == 3 * part
+        got[k, c] += nodes
+    want = {}
+    for k in range(1, 6):
+        for v, c in model.weak([e for e, x in zip(rows, level, strict=True) if x > k]).items():
+            want.setdefault((k, c), []).append(v)
+    assert got == {key: sorted(nodes) for key, nodes in want.items()}
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_quantiles_of_any_size(spark, few):
+    import numpy as np
+
+    rng = random.Random(2)
+    values = {g: [rng.choice([rng.random(), 0.5, 3.0]) for _ in range(n)] for g, n in (("a", 1), ("b", 40), ("c", 77))}
+    df = spark.createDataFrame([(g, x) for g, xs in values.items() for x in xs], "g string, x double")
+    at = [0, 0.1, 0.25, 0.5, 0.99, 1, 2]
+    for by in ((), ("g",)):
+        for r in quantiles(df, "x", at, by, few).collect():
+            own = values[r.g] if by else sum(values.values(), [])
+            assert list(r.q) == pytest.approx([np.quantile(own, min(q, 1)) for q in at])
+
+
+def test_places_and_zipped_pairs(spark):
+    df = spark.createDataFrame([(v,) for v in (5, 3, 9, 3, 1)], "id long")
+    assert sorted((r.place, r.id) for r in numbered(df, [F.col("id")]).collect()) == [(1, 1), (2, 3), (3, 3), (4, 5), (5, 9)]
+    other = spark.createDataFrame([(v,) for v in (7, 6)], "id long")
+    assert sorted(map(tuple, zip_pairs(df, other, ("id",)).select("place", "source", "target").collect())) == [(1, 1, 6), (2, 3, 7)]
+
+
+def test_checkpoints_go_when_they_are_told_to(spark):
+    from pathlib import Path
+
+    at = Path(shared_folder(spark).removeprefix("file:"))
+    files = lambda: {p for p in at.rglob("rdd-*")}
+    before = files()
+    one = cut(spark.range(5))
+    forget(one, spark.range(3))
+    with scratch(spark):
+        two = cut(spark.range(7))
+        assert two.count() == 7 and len(files() - before) == 1
+    assert files() == before

@@ -5,7 +5,7 @@ from graphloom import schema
 from graphloom.functions import arrays
 from graphloom.functions.ranking import first_in_order, ordered, quantiles, ranked
 from graphloom.plans import cli
-from graphloom.sources.edge_files import adjacency_text, directed, loaded_vertices, parse_edge_lines, read_edges, read_results, write_results
+from graphloom.sources.edge_files import adjacency_text, directed, loaded_vertices, parse_edge_lines, print_results, read_edges, read_results, six_digits, write_results
 from graphloom.sources.tables import insert
 
 LINES = ["", "1,1,2", "2,1,2,5", "3,2,3,5,6", "4,3,4,5,6,7", "5,8,9,-1,-1", "6,1,3,0", "id,source,target,cost", "7,1,4,2.5e1x,", "8 ,1,5,abc"]
@@ -116,10 +116,22 @@ def test_ranks_of_nothing(spark):
 
 
 def test_quantiles(spark):
-    q = frame(spark, [1.0, 2.0, 4.0, 8.0, 16.0]).agg(quantiles("v", [-1, 0.1, 0.25, 0.9, 2]).alias("q")).first().q
-    assert q == pytest.approx([1, 1.4, 2, 12.8, 16])
-    assert frame(spark, [7.0]).agg(quantiles("v", [0.3]).alias("q")).first().q == [7.0]
-    assert frame(spark, [7.0]).where("false").agg(quantiles("v", [0.3, 1]).alias("q")).first().q == [0.0, 0.0]
+    q = lambda values, at: quantiles(values, "v", at).first().q
+    assert q(frame(spark, [1.0, 2.0, 4.0, 8.0, 16.0]), [-1, 0.1, 0.25, 0.9, 2]) == pytest.approx([1, 1.4, 2, 12.8, 16])
+    assert q(frame(spark, [7.0]), [0.3]) == [7.0]
+    assert q(frame(spark, [7.0]).where("false"), [0.3, 1]) == [0.0, 0.0]
+
+
+def test_six_digits(spark):
+    values = [0.0, 0.5, 0.75, 10.0, -3.25, 1234567.891, 999999.5, 999999.4, 123456.7, 0.0001, 0.00012345678, 0.00001, 1e-7, 99999.96, 1e21, 2 / 3, -1e6, 100.0, float("inf"), float("nan")]
+    got = [r.t for r in frame(spark, values).select("k", six_digits(F.col("v")).alias("t")).orderBy("k").collect()]
+    assert got == ["%g" % v for v in values]
+
+
+def test_printed_results_and_fractional_costs(spark):
+    edges = spark.createDataFrame([(1, 1, 2, 0.5, 2 / 3), (2, 1, 3, 0.75, 4.0)], "id long, source long, target long, cost double, betweenness double")
+    assert {r.id: r.line for r in print_results(edges).collect()} == {1: "id: 1, source: 1, target: 2, betweenness: 0.666667", 2: "id: 2, source: 1, target: 3, betweenness: 4"}
+    assert adjacency_text(edges).first().line == "1: 2(1,0.5) 3(2,0.75)"
 
 
 def test_command_line(spark, tmp_path):
