@@ -254,3 +254,20 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+#: Every pair of texts with a common shingle by brute force, and the components of those at 4/5.
+ORACLE = r"""
+WITH RECURSIVE nodes AS MATERIALIZED (SELECT row_number() OVER () AS node, text, min(doc_id) AS least FROM documents WHERE doc_id IS NOT NULL GROUP BY text),
+split AS (SELECT node, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS w FROM nodes),
+shingle AS MATERIALIZED (SELECT node, k, count(*) AS n FROM (SELECT node, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT node, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)) GROUP BY ALL),
+total AS MATERIALIZED (SELECT node, sum(n) AS n FROM shingle GROUP BY node),
+pair AS MATERIALIZED (SELECT a.node AS x, b.node AS y, sum(least(a.n, b.n)) AS common FROM shingle a JOIN shingle b ON a.k = b.k AND a.node < b.node GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN total a ON a.node = x JOIN total b ON b.node = y WHERE 9 * common >= 4 * (a.n + b.n)),
+links AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+part(node, component) USING KEY (node) AS (SELECT node, node FROM nodes UNION
+  SELECT l.y, min(p.component) FROM part p JOIN links l ON l.x = p.node JOIN recurring.part r ON r.node = l.y WHERE p.component < r.component GROUP BY l.y),
+class AS (SELECT component, min(least) AS class_id FROM part JOIN nodes USING (node) GROUP BY component)
+SELECT d.doc_id, CASE WHEN d.doc_id IS NOT NULL THEN class_id END AS class_id, CASE WHEN nodes.node IS NOT NULL THEN CAST(coalesce(total.n, 0) AS BIGINT) END AS n_shingles
+FROM documents d LEFT JOIN nodes ON nodes.text IS NOT DISTINCT FROM d.text LEFT JOIN part USING (node) LEFT JOIN class USING (component) LEFT JOIN total USING (node)
+"""

@@ -14,7 +14,8 @@ task ever holds a conversation that is larger than its partition.
 Defined results: a null or empty piece has one empty line; repeated pieces of one (conversation,
 place) are one piece, and every input row gets its result; pieces that differ at one place follow
 each other by hash; a null conv_id is a conversation, a null place stands first; roles other than
-user, assistant and system teach nothing; further columns are not returned.
+user, assistant and system teach nothing; a piece of any length is read whole, and no conversation has
+to fit into a task; an empty table gives an empty result; further columns are not returned.
 """
 
 from __future__ import annotations

@@ -6,13 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, lines
-from graphloom.llm.bagminhash import op10_bagminhash
+from graphloom.llm import bagminhash, decontamination, lines, repeats
 from graphloom.llm.chat import op1_chat_turns
 from graphloom.llm.language import op5_language
 from graphloom.llm.media_query import op4_tiff_media
 from graphloom.llm.packing import op6_best_fit
-from graphloom.llm.repeats import op8_repeated_windows
 from graphloom.llm.toxicity import op3_toxicity
 from graphloom.llm.wordpiece import op9_token_counts
 
@@ -24,11 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_best_fit": op6_best_fit,
     "op7_line_spread": lines.op7_line_spread,
-    "op8_repeated_windows": op8_repeated_windows,
+    "op8_repeated_windows": repeats.op8_repeated_windows,
     "op9_token_counts": op9_token_counts,
-    "op10_bagminhash": op10_bagminhash,
+    "op10_bagminhash": bagminhash.op10_bagminhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_prefix_decontamination": decontamination.ORACLE,
     "op7_line_spread": lines.ORACLE,
+    "op8_repeated_windows": repeats.ORACLE,
+    "op10_bagminhash": bagminhash.ORACLE,
 }

@@ -9,7 +9,9 @@ Rows find their run by their rank among the items of their length; ranks come fr
 partition and a prefix sum over these, so no task holds a whole length class.
 
 Defined results: a null or empty text is one piece, the end token; a text is cut only if longer than
-the capacity; repeated rows are packed each; a null doc_id is kept; further columns are not returned.
+the capacity; repeated rows are packed each; a null doc_id is kept, and ids keep their type; an empty
+table gives no sequences; further columns are not returned. Ties, items of equal length, go to places in
+order of doc_id, piece, start and ids within each partition.
 """
 
 from __future__ import annotations

@@ -325,3 +325,16 @@ def drop_repeats(docs: DataFrame, length: int = 50, base: int = BASE) -> DataFra
 
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Every window by brute force, compared by its words.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT rid, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+first AS (SELECT k, min(doc_id) AS least FROM win GROUP BY k),
+dead AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS place FROM win JOIN first USING (k) WHERE doc_id > least),
+every AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS place FROM d),
+kept AS (SELECT e.rid, string_agg(x, ' ' ORDER BY e.place) AS words, count(*) AS n FROM every e ANTI JOIN dead USING (rid, place) GROUP BY e.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

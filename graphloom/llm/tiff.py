@@ -4,7 +4,8 @@ The reader walks the chain of image directories, decodes uncompressed, PackBits,
 strips and tiles, undoes the horizontal predictor and emits one row per page. It reads either byte
 order and 8-bit samples, chunky or planar. Defined results: null or empty bytes and files that
 break the format give one row with page null and the reason in ``error``; directories that loop end
-the walk with an error; pages decoded before a fault are kept. Other columns are untouched.
+the walk with an error; pages decoded before a fault are kept. An empty table gives an empty result.
+Other columns are untouched.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Labels come from a bounded sample, SAMPLE_ROWS rows of each label of at most SAM
 characters, the least by a hash of doc_id, drawn only from rows whose crc32(doc_id) is not a
 multiple of five. Defined results: a null, empty or wordless text scores the sample's share of
 toxic rows, or less than 0.5; rows with repeated ids are scored each; a null doc_id is never held
-out; clashing or further columns are neither read nor returned by ``score_documents``.
+out; a text of any length is scored whole, in one task; an empty table of documents gives an empty
+result, and without labels of both kinds all texts score alike, below 0.5; clashing or further columns
+are neither read nor returned by ``score_documents`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ TABLE_RATE = 3.0
 LEAST_TURNS = 150
 #: Embedding width, hidden units of a direction, rows of the two hashed tables.
 WIDTH, HIDDEN, WORD_ROWS, GRAM_ROWS = 16, 8, 1 << 17, 1 << 17
-#: Rows of the tables are learnt whose share of toxic texts is this far from chance.
+#: Rows of the tables are learnt if their share of toxic texts is this far from chance; 1 would let one row of all pass by chance.
 SURE = 0.4
 GRAMS = (3, 4, 5)
 #: Distinct words whose n-grams are looked up together, and bytes of text scored together.
@@ -220,7 +222,7 @@ def _known_rows(column: pa.Array, labels: np.ndarray) -> dict[str, np.ndarray]:
     """Which rows of the two tables can't have their share of toxic texts by chance.
 
     By Chernoff's bound, n texts of which a share q is toxic, where a share p of all is, come about by
-    chance with at most exp(-n KL(q, p)); that must be less than one over the rows that were looked at.
+    chance with at most exp(-n KL(q, p)); that must be less than the number of rows looked at to the power of -SURE.
     """
     seen = {"words": np.zeros((2, WORD_ROWS)), "grams": np.zeros((2, GRAM_ROWS))}
     for row in range(len(column)):

@@ -8,7 +8,8 @@ pieces themselves are never built, and no character is read again.
 
 A word that cannot be split counts as one unknown piece, as in the greedy definition. Defined
 results: a null or empty text has no words and no tokens; equal rows are counted each; a null doc_id
-is kept; further columns are not returned.
+is kept, and ids keep their type; a text of any length is read whole, in one task; an empty table gives
+an empty result; further columns are not returned.
 """
 
 from __future__ import annotations
