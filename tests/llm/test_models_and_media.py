@@ -146,7 +146,6 @@ def test_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BPE)
-    library.encode_special_tokens = True
     own = packing.encoder(BPE)
     rng = random.Random(5)
     parts = ["a", "the", " ", "  ", "\n", "\t", "é", "日本", "\x85", "\x1c", "'s", "1", "½", ".", "!!", "<|endoftext|>", "Ġ", "_", " word"]
@@ -155,6 +154,21 @@ def test_ids_equal_the_library():
         assert np.frombuffer(own(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_a_vocabulary_in_another_order_goes_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = json.loads(open(BPE).read())
+    merges = file["model"]["merges"][:2000]
+    file["model"]["merges"] = merges[:10][::-1] + merges[10:]
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    own, library = packing.encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not own.in_order and packing.encoder(BPE).in_order
+    text = "the other thing in this order"
+    assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_runs_of_white_space_equal_the_library():
     own = packing.encoder(BPE)
     for text in (f"a{' ' * 1_020_000}b", " " * 1_048_576, "\n" * packing.LONG, f"x <|endoftext|>{' ' * (packing.LONG + 1)}"):
