@@ -65,6 +65,33 @@ def test_stages(spark, folder):
     assert set(seen["packing"]) == clean
 
 
+def test_stages_take_empty_tables_and_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id >= 400")
+    odd = cases.docs_frame(spark, cases.odd_docs(9))
+    wide = docs.unionByName(odd)
+    for name in ("row", "gone", "t1", "t2", "node", "id", "class", "least", "token", "w", "score", "toxic", "_part", "length", "keys"):
+        wide = wide.withColumn(name, F.lit("mine"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.where("false"), folder).isEmpty()
+        out = stage(spark, wide, folder)
+        if k < 4:
+            assert out.columns == wide.columns and {r[0] for r in out.select("token").distinct().collect()} == {"mine"}
+            assert out.where("doc_id is null").count() == 2
+        else:
+            assert out.where("piece = 0").count() == wide.count()
+
+
+def test_run_leaves_one_table(spark, folder, tmp_path):
+    from pathlib import Path
+
+    from graphloom.llm.store import shared_folder
+
+    at = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p for p in at.glob("table-*")}
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert len({p for p in at.glob("table-*")} - before) == 1
+
+
 def test_run_equals_the_stages(spark, folder):
     ours = corpus_pipeline.run(spark, folder)
     assert corpus_pipeline.ORACLE_SQL is None
