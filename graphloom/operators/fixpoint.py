@@ -87,7 +87,7 @@ ONE_TASK_EDGES = 1 << 20
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v) to (at, to), to being the least node of the component of at."""
+    """(u, v) to (node, component), the least node of its component."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not parts:
         return
@@ -107,7 +107,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if a != b:
             up[max(a, b)] = min(a, b)
     roots = np.array([root(x) for x in range(len(nodes))], np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["at", "to"])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["node", "component"])
 
 
 def weak_components(edges: DataFrame, source: str = "source", target: str = "target", one_task: int = ONE_TASK_EDGES) -> DataFrame:
@@ -116,9 +116,13 @@ def weak_components(edges: DataFrame, source: str = "source", target: str = "tar
     While more than ``one_task`` edges are left, each round gives every node the neighbour (or itself) of least random priority and contracts the
     edges to these labels, so that the edges shrink by a constant factor and paths take logarithmically
     many rounds. Nodes of any degree are safe: minima combine before the shuffle, and joins on a hub are
-    split by the adaptive planner. Null ends are dropped; loops only make their node appear.
+    split by the adaptive planner. Null ends are dropped; loops only make their node appear. At most
+    ``one_task`` edges from the start are one bounded task's work, without a shuffle.
     """
     ends = edges.select(F.col(source).cast("long").alias("u"), F.col(target).cast("long").alias("v")).where("u is not null and v is not null")
+    ends = cut(ends)
+    if ends.count() <= one_task:
+        return ends.coalesce(1).mapInArrow(_forest, "node long, component long")
     labels = cut(ends.select("u").union(ends.select("v")).distinct().select(F.col("u").alias("node"), F.col("u").alias("label")))
     live = cut(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     turn = 0
@@ -137,7 +141,7 @@ def weak_components(edges: DataFrame, source: str = "source", target: str = "tar
         both_moved = first.join(best, first["v"] == best["at"]).select("u", F.col("to").alias("v"))
         live = cut(both_moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         forget(*old, first_hop, best)
-    last = cut(live.coalesce(1).mapInArrow(_forest, "at long, to long"))
+    last = cut(live.coalesce(1).mapInArrow(_forest, "node long, component long").toDF("at", "to"))
     labels = labels.join(last, labels["label"] == last["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")
