@@ -84,9 +84,9 @@ def sample(docs: DataFrame) -> DataFrame:
     fits = docs.where("lang is not null and text is not null")
     slim = fits.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.greatest(F.length("text"), F.lit(SAMPLE_CHARS)).alias("size"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("size", "h", "doc_id", "t"))
-    picked = cut(slim.withColumn("nth", first).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "doc_id", "t").distinct())
+    picked = cut(slim.withColumn("nth", first).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "doc_id", "t").distinct()).toDF("_lang", "_doc_id", "_t")
     texts = fits.select("lang", "doc_id", F.xxhash64("text").alias("t"), "text")
-    same = [texts["lang"] == picked["lang"], texts["doc_id"].eqNullSafe(picked["doc_id"]), texts["t"] == picked["t"]]
+    same = [F.col("lang") == F.col("_lang"), F.col("doc_id").eqNullSafe(F.col("_doc_id")), F.col("t") == F.col("_t")]
     found = texts.join(F.broadcast(picked), same, "left_semi")  # SAMPLE_ROWS rows a language
     return found.dropDuplicates(["lang", "doc_id", "t"]).orderBy("lang", "doc_id", "t").select("lang", "text")
 

@@ -545,6 +545,13 @@ def test_no_language_is_left_out(spark, monkeypatch):
     assert {r.page_id: r.lang for r in got} == dict(enumerate(names))
 
 
+def test_sample_reads_texts_of_a_parquet_table(spark, tmp_path):
+    rows = [(1, "one text", "en", None, 8), (1, "another text", "en", None, 12), (None, "ein Text", "de", None, 8), (2, None, "de", None, 0)]
+    spark.createDataFrame(rows, cases.DOCS).write.parquet(str(tmp_path / "docs"))
+    got = language.sample(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert sorted(map(tuple, got)) == [("de", "ein Text"), ("en", "another text"), ("en", "one text")]
+
+
 def test_language_without_rows(spark):
     docs, pages, _ = language_tables(spark)
     assert language.identify(spark.createDataFrame([], PAGES), docs).isEmpty()
