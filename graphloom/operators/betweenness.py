@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.csr import BROADCAST_EDGES, Graph, dependencies
 from graphloom.operators.fixpoint import cut
+from graphloom.operators.hubs import Hubs, edge_mass, twins
 from graphloom.operators.paths import distances_by_joins
 
 #: Sources that the join-based form handles at once.
@@ -28,16 +29,22 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, broadca
     """(id, source, target, cost, betweenness) per row of edges with positive costs.
 
     ``parts`` says into how many tasks the sources are dealt, one for a sequential run. ``sources`` (id) limits the paths' starts and scales up by their share, as an estimate. Graphs of
-    at most broadcast_edges edges go to all tasks as arrays, and sources are dealt out; larger ones
-    take joins over batches of sources.
+    at most broadcast_edges edges go to all tasks as arrays, and sources are dealt out. Where all edges
+    touch few vertices, twice as many edges may be, as only classes of like sources go to tasks. Larger
+    graphs take joins over batches of sources.
     """
     edges = cut(edges.select("id", "source", "target", "cost"))
-    if edges.count() > broadcast_edges:
+    count = edges.count()
+    if count > 2 * broadcast_edges:
         return _by_joins(edges, sources)
     spark = edges.sparkSession
     g = Graph.collect(edges)
-    shared = spark.sparkContext.broadcast(g)
     starts = edges.select(F.col("source").alias("id")).distinct() if sources is None else sources.select("id").distinct()
+    if (hubs := Hubs.of(g)) is not None:
+        return _by_hubs(spark, g, hubs, None if sources is None else starts, parts)
+    if count > broadcast_edges:
+        return _by_joins(edges, sources)
+    shared = spark.sparkContext.broadcast(g)
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,10 +61,44 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, broadca
     scale = 1.0
     if sources is not None:
         scale = len(g.ids) / max(1, starts.count())
-    listed = spark.createDataFrame(pa.table({"place": np.arange(len(g.edge_id)), "id": g.edge_id, "source": g.ids[g.tail], "target": g.ids[g.head], "cost": g.cost}))
+    listed = _listed(spark, g, place=np.arange(len(g.edge_id)))
     return listed.join(sums, "place", "left").select("id", "source", "target", "cost", (F.coalesce("betweenness", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def _listed(spark: SparkSession, g: Graph, **more: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"id": g.edge_id, "source": g.ids[g.tail], "target": g.ids[g.head], "cost": g.cost, **more}))
+
+
+def _by_hubs(spark: SparkSession, g: Graph, hubs: Hubs, sources: DataFrame | None, parts: int | None) -> DataFrame:
+    """Rows of like sources are dealt out; what comes back is a number for each row and hub and for each class of leaves and hub."""
+    marks, scale = np.ones(len(g.ids), bool), 1.0
+    if sources is not None:
+        asked = sources.toArrow().column(0).to_numpy()
+        marks, scale = np.isin(g.ids, asked), len(g.ids) / max(1, len(asked))
+    kinds, of = twins(hubs, marks)
+    shared = spark.sparkContext.broadcast(kinds)
+    n, wide = len(kinds.own), len(hubs.hub)
+    parts = min(max(1, n), parts or 2 * spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = shared.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rows = np.arange(k, n, parts)
+                sent, got = kinds.mass(rows)
+                yield pa.RecordBatch.from_arrays([pa.array((rows[:, None] * wide + np.arange(wide)).reshape(-1)), pa.array(sent.reshape(-1))], names=["place", "part"])
+                some = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array(some + n * wide), pa.array(got.reshape(-1)[some])], names=["place", "part"])
+
+    dealt = spark.range(0, parts, 1, parts)
+    sums = dealt.mapInArrow(run, "place long, part double").groupBy("place").agg(F.sum("part").alias("part")).toArrow()
+    flat = np.zeros(n * wide + kinds.back.size)
+    flat[sums.column("place").to_numpy()] = sums.column("part").to_numpy()
+    shared.destroy()
+    total = edge_mass(g, hubs, kinds, of, marks, flat[: n * wide].reshape(n, wide), flat[n * wide :].reshape(kinds.back.shape))
+    return _listed(spark, g, betweenness=total * scale)
+
+
 def _by_joins(edges: DataFrame, sources: DataFrame | None) -> DataFrame:
     """The same sums by relaxation rounds: with s(v) the count of shortest paths to v and x(v) the sum, over the paths
     on from v, of 1 / s(end), an edge u-v of the shortest-path graph carries s(u) x(v)."""

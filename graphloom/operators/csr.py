@@ -27,6 +27,8 @@ class Graph:
     first: np.ndarray
     #: The place that each edge had in the input.
     order: np.ndarray
+    #: ``hubs.Hubs`` of the graph, where it has them and they were looked for.
+    hubs: object = None
 
     @staticmethod
     def of(edge_id: np.ndarray, source: np.ndarray, target: np.ndarray, cost: np.ndarray) -> Graph:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.csr import BROADCAST_EDGES, Graph, shortest_tree
 from graphloom.operators.fixpoint import cut
+from graphloom.operators.hubs import Hubs
 
 
 def distances_by_joins(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -40,9 +42,14 @@ def distances(edges: DataFrame, starts: DataFrame, broadcast_edges: int = BROADC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
-        lists = g.lists()
+        lists = g.lists() if g.hubs is None else None
         for batch in batches:
             for start in batch.column(0).to_pylist():
+                if g.hubs is not None:
+                    near = g.hubs.distances(g.code(start))
+                    met = np.flatnonzero(np.isfinite(near))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), start)), pa.array(g.ids[met]), pa.array(near[met])], names=["start", "node", "distance"])
+                    continue
                 dist, _ = shortest_tree(lists, g.code(start))
                 yield pa.RecordBatch.from_arrays([pa.array([start] * len(dist), pa.int64()), pa.array(g.ids[list(dist)]), pa.array(list(dist.values()), pa.float64())], names=["start", "node", "distance"])
 
@@ -50,11 +57,16 @@ def distances(edges: DataFrame, starts: DataFrame, broadcast_edges: int = BROADC
 
 
 def shared_graph(edges: DataFrame, broadcast_edges: int = BROADCAST_EDGES) -> Broadcast | None:
-    """The graph as broadcast arrays, or None if it has more edges than that."""
+    """The graph as broadcast arrays, or None if it has more edges than that, or than twice that where all touch few vertices."""
     edges = cut(edges.select("id", "source", "target", "cost"))
-    if edges.count() > broadcast_edges:
+    count = edges.count()
+    if count > 2 * broadcast_edges:
+        return None
+    g = Graph.collect(edges)
+    g.hubs = Hubs.of(g)
+    if g.hubs is None and count > broadcast_edges:
         return None
-    return edges.sparkSession.sparkContext.broadcast(Graph.collect(edges))
+    return edges.sparkSession.sparkContext.broadcast(g)
 
 
 def path_edges(edges: DataFrame, connections: DataFrame, broadcast_edges: int = BROADCAST_EDGES, graph: Broadcast | None = None) -> DataFrame:
@@ -67,6 +79,17 @@ def path_edges(edges: DataFrame, connections: DataFrame, broadcast_edges: int =
     shared = graph or shared_graph(edges, broadcast_edges)
     if shared is None:
         return _paths_by_joins(cut(edges.select("id", "source", "target", "cost")), connections)
+    shape = "start long, end long, seq int, id long, source long, target long, cost double"
+
+    def by_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        for batch in batches:
+            asked = [(start, end) for start, targets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for end in dict.fromkeys(targets)]
+            codes = [(s, e, g.code(s), g.code(e)) for s, e in asked]
+            known = np.array([c for c in codes if c[2] >= 0 and c[3] >= 0], np.int64).reshape(-1, 4)
+            pair, before, edge = g.hubs.paths(known[:, 2], known[:, 3])
+            columns = (known[pair, 0], known[pair, 1], (before + 1).astype(np.int32), g.edge_id[edge], g.ids[g.tail[edge]], g.ids[g.head[edge]], g.cost[edge])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in shape.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
@@ -89,7 +112,7 @@ def path_edges(edges: DataFrame, connections: DataFrame, broadcast_edges: int =
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["start", "end", "seq", "id", "source", "target", "cost"])
 
-    return connections.select("source", "targets").mapInArrow(run, "start long, end long, seq int, id long, source long, target long, cost double")
+    return connections.select("source", "targets").mapInArrow(run if shared.value.hubs is None else by_hubs, shape)
 
 
 def _paths_by_joins(edges: DataFrame, connections: DataFrame) -> DataFrame:

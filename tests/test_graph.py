@@ -1,13 +1,16 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import schema
 from graphloom.functions.ranking import quantiles
-from graphloom.operators import checks
+from graphloom.operators import betweenness as betweenness_module
+from graphloom.operators import checks, hubs
 from graphloom.operators.betweenness import edge_betweenness, sample_sources
 from graphloom.operators.components import largest_component, strong_components
+from graphloom.operators.csr import Graph, dependencies, shortest_tree
 from graphloom.operators.fixpoint import cut, forget, numbered, scratch, shared_folder, weak_components
 from graphloom.operators.label import border_nodes, catalog, component_members, label, label_legacy, residue_components
 from graphloom.operators.levels import caps, with_levels
@@ -314,3 +317,68 @@ def test_checkpoints_go_when_they_are_told_to(spark):
         two = cut(spark.range(7))
         assert two.count() == 7 and len(files() - before) == 1
     assert files() == before
+
+
+def spokes(seed, leaves=12, most_cost=3, parts=1):
+    """Rows of edges between few hubs and leaves, some of them twins, with loops, parallel edges and unreachable ends."""
+    draw = random.Random(seed)
+    ids = draw.sample(range(100), leaves + 4)
+    hub_ids, rows = ids[:4], []
+    for _ in range(draw.randint(1, 70)):
+        a, b = draw.choice(hub_ids), draw.choice(ids)
+        a, b = (a, b) if draw.random() < 0.5 else (b, a)
+        rows.append((draw.randint(0, 40), a, b, draw.randint(1, most_cost) / parts))
+    twin = lambda v: v if v in hub_ids else v + 1000
+    return rows + [(i + 100, twin(s), twin(t), c) for i, s, t, c in rows if seed % 2 and (s in hub_ids) != (t in hub_ids)]
+
+
+def arrays_of(rows):
+    return Graph.of(*(np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.int64, np.int64, np.int64, float), strict=True)))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_hub_kernels_equal_the_plain_ones(seed):
+    g = arrays_of(spokes(seed, parts=4 if seed % 3 else 1))
+    found, n = hubs.Hubs.of(g), len(g.ids)
+    if found is None:
+        assert (g.tail == g.head).all()
+        return
+    starts = np.arange(n) % (1 + seed % 2) == 0
+    want = np.zeros(len(g.cost))
+    for v in np.flatnonzero(starts):
+        dependencies(g.lists(), n, int(v), want)
+    kinds, of = hubs.twins(found, starts)
+    parts = [kinds.mass(rows) for rows in np.array_split(np.arange(len(kinds.own)), 3)]
+    got = hubs.edge_mass(g, found, kinds, of, starts, np.concatenate([p[0] for p in parts]), sum(p[1] for p in parts))
+    assert np.allclose(got, want, atol=1e-9)
+    pairs = [(a, b) for a in range(n) for b in range(n)]
+    walked = {}
+    for k, _, e in sorted(zip(*(x.tolist() for x in found.paths(*np.array(pairs).T)), strict=True)):
+        walked.setdefault(pairs[k], []).append(e)
+    for a in range(n):
+        dist, into = shortest_tree(g.lists(), a)
+        assert {v: d for v, d in enumerate(found.distances(a).tolist()) if d < float("inf")} == dist
+        for b in range(n):
+            back, at = [], b
+            while at in into and at != a:
+                back.append(into[at])
+                at = int(g.tail[into[at]])
+            assert walked.get((a, b), []) == back[::-1]
+
+
+def test_costs_that_round_and_graphs_without_few_hubs_have_no_hubs():
+    assert hubs.Hubs.of(arrays_of([(1, 1, 2, 0.1)])) is None
+    assert hubs.Hubs.of(arrays_of([(k, 2 * k, 2 * k + 1, 1) for k in range(hubs.MOST_HUBS + 1)])) is None
+    assert hubs.Hubs.of(arrays_of([(k, 2 * k, 2 * k + 1, 1) for k in range(hubs.MOST_HUBS)])) is not None
+
+
+@pytest.mark.parametrize("sampled", [False, True])
+def test_betweenness_of_few_hubs_searches_no_source_alone(spark, monkeypatch, sampled):
+    def never(*_):
+        raise AssertionError("a source was searched alone")
+
+    edges = edges_of(spark, spokes(7))
+    some = edges.select(F.col("source").alias("id")).distinct().where("id % 2 = 0") if sampled else None
+    want = {tuple(r) for r in edge_betweenness(edges, some, broadcast_edges=0).withColumn("betweenness", F.round("betweenness", 6)).collect()}
+    monkeypatch.setattr(betweenness_module, "dependencies", never)
+    assert {tuple(r) for r in edge_betweenness(edges, some).withColumn("betweenness", F.round("betweenness", 6)).collect()} == want
