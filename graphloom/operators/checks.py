@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.components import strong_components
+from graphloom.operators.components import STRONG_TASK_EDGES, strong_components, tarjan
 from graphloom.operators.fixpoint import cut
 from graphloom.operators.label import at_level, residue_labels, split_level
 
@@ -16,9 +17,18 @@ class Broken(AssertionError):
     """An invariant does not hold."""
 
 
-def skeleton_strongly_connected(edges: DataFrame, num_levels: int = 10) -> DataFrame:
-    """(level, n_scc, ok): the skeleton of each level is one strong component; all levels are solved in one pass."""
+def _parts(level: pa.Table) -> pa.Table:
+    """(level, n_scc) of one level's (source, target, level)."""
+    found = [b.column(1) for b in tarjan(level.select(["source", "target"]).combine_chunks().to_batches())]
+    return pa.table({"level": level.column("level").slice(0, 1), "n_scc": [sum(len(c.unique()) for c in found)]})
+
+
+def skeleton_strongly_connected(edges: DataFrame, num_levels: int = 10, one_task: int = STRONG_TASK_EDGES) -> DataFrame:
+    """(level, n_scc, ok): the skeleton of each level is one strong component; a level is a task's work where it can hold all edges, else all levels are solved in one pass."""
     each = edges.select("source", "target", "promoted_level", F.explode(F.sequence(F.lit(1), F.lit(num_levels))).alias("level")).where("promoted_level <= level")
+    if edges.count() <= one_task:
+        counted = each.select("source", "target", "level").groupBy("level").applyInArrow(_parts, "level int, n_scc long")
+        return counted.withColumn("ok", F.col("n_scc") == 1)
     found = strong_components(each.select(*[at_level(F.col(c), F.col("level")).alias(c) for c in ("source", "target")]))
     counted = found.groupBy(split_level(F.col("component"))[1].alias("level")).agg(F.countDistinct("component").alias("n_scc"))
     return counted.withColumn("ok", F.col("n_scc") == 1)

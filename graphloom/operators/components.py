@@ -9,8 +9,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.csr import Graph, strong_labels
-from graphloom.operators.fixpoint import ONE_TASK_EDGES, cut
+from graphloom.operators.csr import strong_labels
+from graphloom.operators.fixpoint import cut
+
+
+#: Strong components of at most so many edges are one task's work: 16 bytes an edge, and some 60 while its ends are coded.
+STRONG_TASK_EDGES = 1 << 22
+#: Passes over all edges that a task tries before it searches vertex by vertex.
+PASSES = 64
+
+
+def _reach(n: int, start: int, tail: np.ndarray, head: np.ndarray) -> np.ndarray | None:
+    """A mark on each vertex that start reaches; None if paths are longer than PASSES."""
+    met = np.zeros(n, bool)
+    met[start] = True
+    for _ in range(PASSES):
+        new = head[met[tail] & ~met[head]]
+        if not len(new):
+            return met
+        met[new] = True
+    return None
+
+
+def strong_parts(n: int, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For each vertex the least of its strong component: vertices without edges in or out are trimmed, the component of
+    the vertex with most edges is met by passes from it and to it, and what is left is searched vertex by vertex."""
+    label = np.arange(n)
+    live = tail != head
+    tail, head = tail[live], head[live]
+    for _ in range(PASSES):
+        on = (np.bincount(tail, minlength=n) > 0) & (np.bincount(head, minlength=n) > 0)
+        live = on[tail] & on[head]
+        if live.all():
+            break
+        tail, head = tail[live], head[live]
+    if not len(tail):
+        return label
+    most = int(np.argmax(np.bincount(tail, minlength=n) + np.bincount(head, minlength=n)))
+    ahead = _reach(n, most, tail, head)
+    behind = None if ahead is None else _reach(n, most, head, tail)
+    if behind is not None:
+        both = np.flatnonzero(ahead & behind)
+        label[both] = both[0]
+        # no other component has vertices on both sides of these marks
+        live = (ahead[tail] == ahead[head]) & (behind[tail] == behind[head]) & ~(ahead & behind)[tail]
+        tail, head = tail[live], head[live]
+    nodes, code = np.unique(np.concatenate([tail, head]), return_inverse=True)
+    tail, head = code[: len(tail)], code[len(tail) :]
+    order = np.argsort(tail, kind="stable")
+    first = np.searchsorted(tail[order], np.arange(len(nodes) + 1))
+    label[nodes] = nodes[np.array(strong_labels(len(nodes), first.tolist(), head[order].tolist()), np.int64)]
+    return label
 
 
 def tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -18,11 +67,10 @@ def tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not parts:
         return
-    source, target = (np.concatenate(side) for side in zip(*parts, strict=True))
-    g = Graph.of(np.zeros(len(source), np.int64), source, target, np.zeros(len(source)))
-    first, head, _ = g.lists()
-    labels = np.array(strong_labels(len(g.ids), first, head), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(g.ids), pa.array(g.ids[labels])], names=["node", "component"])
+    ids, code = np.unique(np.concatenate([np.concatenate(side) for side in zip(*parts, strict=True)]), return_inverse=True)
+    half = len(code) // 2
+    labels = strong_parts(len(ids), code[:half], code[half:])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[labels])], names=["node", "component"])
 
 
 def _spread(reach: DataFrame, links: DataFrame, pick) -> DataFrame:
@@ -37,7 +85,7 @@ def _spread(reach: DataFrame, links: DataFrame, pick) -> DataFrame:
             return reach
 
 
-def strong_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def strong_components(edges: DataFrame, one_task: int = STRONG_TASK_EDGES) -> DataFrame:
     """(node, component) for every end of an edge; component is the least node of the strong component.
 
     Vertices without edges in or out of them are trimmed as components of their own. While more than

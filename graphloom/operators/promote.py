@@ -11,9 +11,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.components import strong_components, tarjan
+from graphloom.operators.components import STRONG_TASK_EDGES, strong_components, tarjan
 from graphloom.operators.csr import BROADCAST_EDGES
-from graphloom.operators.fixpoint import ONE_TASK_EDGES, cut, forget, numbered
+from graphloom.operators.fixpoint import cut, forget, numbered
 from graphloom.operators.paths import path_edges, shared_graph
 
 log = logging.getLogger(__name__)
@@ -35,7 +35,7 @@ def _circle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.roll(reps, -1).reshape(-1, 1).tolist(), pa.list_(pa.int64()))], names=["source", "targets"])
 
 
-def connections(edges: DataFrame, level: int, one_task: int = ONE_TASK_EDGES, count: int | None = None) -> DataFrame:
+def connections(edges: DataFrame, level: int, one_task: int = STRONG_TASK_EDGES, count: int | None = None) -> DataFrame:
     """(source, targets): from the least vertex of each strong component of the skeleton to that of the next, in a circle.
 
     k components give k connections, one gives none. If paths join every pair, the skeleton is one

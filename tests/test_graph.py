@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from graphloom import schema
 from graphloom.functions.ranking import quantiles
 from graphloom.operators import betweenness as betweenness_module
-from graphloom.operators import checks, hubs
+from graphloom.operators import checks, components, hubs
 from graphloom.operators.betweenness import edge_betweenness, sample_sources
 from graphloom.operators.components import largest_component, strong_components
-from graphloom.operators.csr import Graph, dependencies, shortest_tree
+from graphloom.operators.csr import Graph, dependencies, shortest_tree, strong_labels
 from graphloom.operators.fixpoint import cut, forget, numbered, scratch, shared_folder, weak_components
 from graphloom.operators.label import border_nodes, catalog, component_members, label, label_legacy, residue_components
 from graphloom.operators.levels import caps, with_levels
@@ -382,3 +382,23 @@ def test_betweenness_of_few_hubs_searches_no_source_alone(spark, monkeypatch, sa
     want = {tuple(r) for r in edge_betweenness(edges, some, broadcast_edges=0).withColumn("betweenness", F.round("betweenness", 6)).collect()}
     monkeypatch.setattr(betweenness_module, "dependencies", never)
     assert {tuple(r) for r in edge_betweenness(edges, some).withColumn("betweenness", F.round("betweenness", 6)).collect()} == want
+
+
+@pytest.mark.parametrize("passes", [2, 64])
+def test_strong_parts_equal_the_plain_search(monkeypatch, passes):
+    monkeypatch.setattr(components, "PASSES", passes)
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = int(draw.integers(1, 25)), int(draw.integers(1, 50))
+        tail, head = draw.integers(0, n, m), draw.integers(0, n, m)
+        order = np.argsort(tail, kind="stable")
+        first = np.searchsorted(tail[order], np.arange(n + 1))
+        assert components.strong_parts(n, tail, head).tolist() == strong_labels(n, first.tolist(), head[order].tolist())
+
+
+def test_skeletons_are_checked_a_level_a_task(spark):
+    rows = [(1, 1, 2, 1), (2, 2, 1, 1), (3, 2, 3, 2), (4, 3, 2, 3), (5, 4, 4, 3), (6, 5, 6, 3)]
+    edges = spark.createDataFrame(rows, "id long, source long, target long, promoted_level int")
+    want = {(1, 1, True), (2, 2, False), (3, 4, False)}
+    for one_task in (0, 100):
+        assert {tuple(r) for r in checks.skeleton_strongly_connected(edges, 3, one_task).collect()} == want
