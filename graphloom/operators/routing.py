@@ -33,6 +33,24 @@ def routed_edges(edges: DataFrame, level: int, source_component: int, target_com
 _SHAPE = "source long, target long, level int, num_edges int, num_vertices int, path_len double, graph_build_time double, avg_computation_time double"
 
 
+#: Passes over a route's edges before its search goes vertex by vertex.
+PASSES = 64
+
+
+def _distance(source: int, target: int, n: int, passes: int, tail: np.ndarray, head: np.ndarray, cost: np.ndarray) -> tuple[bool, float | None]:
+    """Whether so many passes over edges in order of head settled all distances, and target's, None without a path."""
+    far = np.full(n, np.inf)
+    far[source] = 0.0
+    first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+    ends = head[first]
+    for _ in range(passes):
+        near = np.minimum.reduceat(far[tail] + cost, first)
+        if not (near < far[ends]).any():
+            return True, float(far[target]) if np.isfinite(far[target]) else None
+        far[ends] = np.minimum(far[ends], near)
+    return False, None
+
+
 def routes(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, levels: list[int], num_levels: int = 10, iterations: int = 1, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """A row for each pair and level: source, target, level, num_edges and num_vertices of the routed subgraph, path_len, and seconds to build it and, on average of iterations, to search it.
 
@@ -52,7 +70,7 @@ def routes(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, levels: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, promoted, parts = shared.value
-        lists = g.lists()
+        lists, by_head = None, np.argsort(g.head, kind="stable")
         for batch in batches:
             rows = []
             for s, e, level, cs, ct in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -62,12 +80,17 @@ def routes(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, levels: list
                     some = (promoted <= level) | (parts[:, level - 1] == cs) | (parts[:, level - 1] == ct)
                 met = np.zeros(len(g.ids), bool)
                 met[g.tail[some]] = met[g.head[some]] = True
-                u, v, only = g.code(s), g.code(e), some.tobytes()
+                u, v = g.code(s), g.code(e)
+                taken = by_head[some[by_head]]
+                ends = g.tail[taken], g.head[taken], g.cost[taken]
                 built = time.perf_counter()
                 found = None
                 for _ in range(iterations):
                     if u >= 0 and v >= 0 and met[u] and met[v]:
-                        found = shortest_tree(lists, u, {v}, only)[0].get(v)
+                        settled, found = _distance(u, v, len(g.ids), PASSES, *ends)
+                        if not settled:
+                            lists = lists or g.lists()
+                            found = shortest_tree(lists, u, {v}, some.tobytes())[0].get(v)
                 rows.append((s, e, level, int(some.sum()), int(met.sum()), found, built - began, (time.perf_counter() - built) / iterations))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
             names = [c.split()[0] for c in _SHAPE.split(", ")]

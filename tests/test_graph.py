@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom import schema
 from graphloom.functions.ranking import quantiles
 from graphloom.operators import betweenness as betweenness_module
-from graphloom.operators import checks, components, hubs
+from graphloom.operators import checks, components, hubs, routing
 from graphloom.operators.betweenness import edge_betweenness, sample_sources
 from graphloom.operators.components import largest_component, strong_components
 from graphloom.operators.csr import Graph, dependencies, shortest_tree, strong_labels
@@ -402,3 +402,14 @@ def test_skeletons_are_checked_a_level_a_task(spark):
     want = {(1, 1, True), (2, 2, False), (3, 4, False)}
     for one_task in (0, 100):
         assert {tuple(r) for r in checks.skeleton_strongly_connected(edges, 3, one_task).collect()} == want
+
+
+@pytest.mark.parametrize("passes", [1, 64])
+def test_routes_by_passes_equal_those_vertex_by_vertex(spark, monkeypatch, built, passes):
+    pairs = built.vertices.select(F.col("id").alias("source")).crossJoin(built.vertices.select(F.col("id").alias("target"))).where("source <> target")
+    shape = ("source", "target", "level", "num_edges", "num_vertices", "path_len")
+    want = {tuple(r) for r in routes(built.edges, built.vertices, pairs, [1, 3, 5], 5, broadcast_edges=0).select(*shape).collect()}
+    monkeypatch.setattr(routing, "PASSES", passes)
+    if passes > 1:
+        monkeypatch.setattr(routing, "shortest_tree", None)
+    assert {tuple(r) for r in routes(built.edges, built.vertices, pairs, [1, 3, 5], 5).select(*shape).collect()} == want
