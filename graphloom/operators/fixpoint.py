@@ -86,14 +86,8 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> Dat
 ONE_TASK_EDGES = 1 << 20
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v) to (node, component), the least node of its component."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not parts:
-        return
-    ends = np.concatenate([np.concatenate(side) for side in zip(*parts, strict=True)])
-    nodes, code = np.unique(ends, return_inverse=True)
-    up = list(range(len(nodes)))
+def unite(up: list[int], tail: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Joins the trees of each edge's ends, the lesser root on top; a mark on each edge that joined two."""
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -101,13 +95,34 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up[x]
         return x
 
-    half = len(code) // 2
-    for a, b in zip(code[:half].tolist(), code[half:].tolist(), strict=True):
+    joined = np.zeros(len(tail), bool)
+    for k, (a, b) in enumerate(zip(tail.tolist(), head.tolist(), strict=True)):
         a, b = root(a), root(b)
         if a != b:
             up[max(a, b)] = min(a, b)
-    roots = np.array([root(x) for x in range(len(nodes))], np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["node", "component"])
+            joined[k] = True
+    return joined
+
+
+def roots(up: list[int]) -> np.ndarray:
+    """The root of each node."""
+    found = np.array(up, np.int64)
+    while (found[found] != found).any():
+        found = found[found]
+    return found
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) to (node, component), the least node of its component."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    ends = np.concatenate([np.concatenate(side) for side in zip(*parts, strict=True)])
+    nodes, code = np.unique(ends, return_inverse=True)
+    up = list(range(len(nodes)))
+    half = len(code) // 2
+    unite(up, code[:half], code[half:])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots(up)])], names=["node", "component"])
 
 
 def weak_components(edges: DataFrame, source: str = "source", target: str = "target", one_task: int = ONE_TASK_EDGES) -> DataFrame:

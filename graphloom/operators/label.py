@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.fixpoint import cut, numbered, weak_components
+from graphloom.operators.fixpoint import ONE_TASK_EDGES, cut, forget, numbered, roots, unite, weak_components
 
 #: Levels take this many low bits, so that (vertex, level) is one number and all levels are solved in one pass.
 _BITS = 7
 #: Vertex ids are smaller than this, on both sides of zero.
 MOST_ID = 1 << 63 - _BITS
+#: Rows of a batch that a task gives back.
+_ROWS = 1 << 16
 
 
 def _levels(num_levels: int) -> Column:
@@ -29,10 +35,89 @@ def split_level(coded: Column) -> tuple[Column, Column]:
     return F.shiftright(coded, _BITS), F.pmod(coded, F.lit(1 << _BITS)).cast("int")
 
 
-def residue_components(edges: DataFrame, num_levels: int = 10, column: str = "promoted_level") -> DataFrame:
-    """(level, node, component): weak components of the edges above each level; component is the least vertex."""
-    each = edges.select("source", "target", F.col(column).alias("_own"), F.explode(_levels(num_levels)).alias("level")).where("_own > level")
-    found = weak_components(each.select(*[at_level(F.col(c), F.col("level")).alias(c) for c in ("source", "target")]))
+def _thin(source: np.ndarray, target: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Places of edges that give the same components above every level: a spanning forest by falling levels, and each vertex's highest loop."""
+    nodes, code = np.unique(np.concatenate([source, target]), return_inverse=True)
+    order = np.argsort(-own, kind="stable")
+    tail, head = code[: len(source)][order], code[len(source) :][order]
+    kept = unite(list(range(len(nodes))), tail, head)
+    loops = np.flatnonzero(tail == head)
+    kept[loops[np.unique(tail[loops], return_index=True)[1]]] = True
+    return order[kept]
+
+
+def _thinned(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(source, target, own) to the rows that ``_thin`` keeps of a partition, which holds at most size rows, or twice those kept, at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, n = [np.zeros(0, np.int64)] * 3, [], 0
+
+        def merge() -> list[np.ndarray]:
+            every = [np.concatenate(side) for side in zip(held, *waiting, strict=True)]
+            kept = _thin(*every)
+            return [x[kept] for x in every]
+
+        for batch in batches:
+            waiting.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= max(size, len(held[0])):
+                held, waiting, n = merge(), [], 0
+        if waiting:
+            held = merge()
+        for at in range(0, len(held[0]), _ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + _ROWS]) for x in held], names=["source", "target", "own"])
+
+    return run
+
+
+def _nested(num_levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(source, target, own) of a whole graph to (level, node, component): as residues shrink from level to level, the edges are added by falling levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not parts:
+            return
+        source, target, own = (np.concatenate(side) for side in zip(*parts, strict=True))
+        nodes, code = np.unique(np.concatenate([source, target]), return_inverse=True)
+        tail, head = code[: len(source)], code[len(source) :]
+        up, on = list(range(len(nodes))), np.zeros(len(nodes), bool)
+        for level in range(num_levels, 0, -1):
+            new = own > level if level == num_levels else own == level + 1
+            unite(up, tail[new], head[new])
+            on[tail[new]] = on[head[new]] = True
+            some, component = np.flatnonzero(on), nodes[roots(up)]
+            for at in range(0, len(some), _ROWS):
+                rows = some[at : at + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), level, np.int32)), pa.array(nodes[rows]), pa.array(component[rows])], names=["level", "node", "component"])
+
+    return run
+
+
+def residue_components(edges: DataFrame, num_levels: int = 10, column: str = "promoted_level", one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(level, node, component): weak components of the edges above each level; component is the least vertex.
+
+    An edge is read once, with its own level. Of more than one_task edges each task keeps a spanning
+    forest by falling levels, as long as that halves them; what is left is one task's work, or else
+    all levels' copies of the edges are contracted in one pass.
+    """
+    _levels(num_levels)
+    bounded = lambda v: F.shiftright(at_level(v, F.lit(0)), _BITS)
+    ends = edges.select(bounded(F.col("source")).alias("source"), bounded(F.col("target")).alias("target"), F.col(column).cast("long").alias("own")).where("own > 1")
+    ends = cut(ends)
+    count = ends.count()
+    shape = "source long, target long, own long"
+    while count > max(one_task, 1):
+        size = max(one_task // 4, 1)
+        thin = cut(ends.coalesce(-(-count // size)).mapInArrow(_thinned(size), shape))
+        left = thin.count()
+        forget(ends)
+        ends, halved, count = thin, 2 * left <= count, left
+        if not halved:
+            break
+    if count <= one_task:
+        return ends.coalesce(1).mapInArrow(_nested(num_levels), "level int, node long, component long")
+    each = ends.select("source", "target", "own", F.explode(_levels(num_levels)).alias("level")).where("own > level")
+    found = weak_components(each.select(*[at_level(F.col(c), F.col("level")).alias(c) for c in ("source", "target")]), one_task=one_task)
     (node, level), (component, _) = split_level(F.col("node")), split_level(F.col("component"))
     return found.select(level.alias("level"), node.alias("node"), component.alias("component"))
 
@@ -61,8 +146,7 @@ def component_members(edges: DataFrame, num_levels: int = 10, column: str = "pro
 
 def skeleton_vertices(edges: DataFrame, num_levels: int = 10, column: str = "promoted_level") -> DataFrame:
     """(level, node): the ends of each level's skeleton edges, as a union of both ends rather than a join on either."""
-    least = edges.select(F.explode(F.array("source", "target")).alias("node"), column).groupBy("node").agg(F.min(column).alias("least"))
-    return least.select(F.explode(F.filter(_levels(num_levels), lambda k: k >= F.col("least"))).alias("level"), "node")
+    return _least_levels(edges, column).select(F.explode(F.filter(_levels(num_levels), lambda k: k >= F.col("least"))).alias("level"), "node")
 
 
 def _gather(df: DataFrame, key: list[str], num_levels: int) -> DataFrame:
@@ -71,6 +155,11 @@ def _gather(df: DataFrame, key: list[str], num_levels: int) -> DataFrame:
     return df.groupBy(*key).agg(F.array(*picked).alias("component"))
 
 
+def _least_levels(edges: DataFrame, column: str = "promoted_level") -> DataFrame:
+    """(node, least): the level from which on a vertex lies on the skeleton."""
+    return edges.select(F.explode(F.array("source", "target")).alias("node"), column).groupBy("node").agg(F.min(column).alias("least"))
+
+
 def label(edges: DataFrame, vertices: DataFrame, num_levels: int = 10) -> tuple[DataFrame, DataFrame]:
     """edges and vertices with their component arrays.
 
@@ -118,4 +207,4 @@ def catalog(edges: DataFrame, num_levels: int = 10) -> DataFrame:
 
 def border_nodes(edges: DataFrame, num_levels: int = 10) -> DataFrame:
     """(level, node, component): vertices that lie on both a level's skeleton and its residue."""
-    return residue_components(edges, num_levels).join(skeleton_vertices(edges, num_levels), ["level", "node"], "left_semi").select("level", "node", "component")
+    return residue_components(edges, num_levels).join(_least_levels(edges), "node").where("least <= level").select("level", "node", "component")

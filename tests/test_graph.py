@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom import schema
 from graphloom.functions.ranking import quantiles
 from graphloom.operators import betweenness as betweenness_module
+from graphloom.operators import label as label_module
 from graphloom.operators import checks, components, hubs, routing
 from graphloom.operators.betweenness import edge_betweenness, sample_sources
 from graphloom.operators.components import largest_component, strong_components
@@ -413,3 +414,30 @@ def test_routes_by_passes_equal_those_vertex_by_vertex(spark, monkeypatch, built
     if passes > 1:
         monkeypatch.setattr(routing, "shortest_tree", None)
     assert {tuple(r) for r in routes(built.edges, built.vertices, pairs, [1, 3, 5], 5).select(*shape).collect()} == want
+
+
+@pytest.mark.parametrize("one_task", [1 << 20, 8, 0])
+def test_residues_of_all_levels_from_edges_read_once(spark, monkeypatch, one_task):
+    rng = random.Random(7)
+    rows = [(k, rng.randrange(30), rng.randrange(30), 1) for k in range(120)] + [(200, 77, 77, 1), (201, 77, 77, 1), (202, 78, 78, 1), (203, 1, 40, 1), (204, 41, 2, 1)]
+    level = [rng.randint(1, 5) for _ in rows[:-5]] + [2, 5, 1, 7, 6]
+    made = [(*r[:3], x) for r, x in zip(rows, level, strict=True)]
+    edges = spark.createDataFrame(made, "id long, source long, target long, promoted_level int").repartition(3)
+    contracted = []
+    plain = label_module.weak_components
+    monkeypatch.setattr(label_module, "weak_components", lambda *a, **k: contracted.append(1) or plain(*a, **k))
+    got = {(r.level, r.node): r.component for r in residue_components(edges, 5, one_task=one_task).collect()}
+    want = {(k, v): c for k in range(1, 6) for v, c in model.weak([e for e, x in zip(rows, level, strict=True) if x > k]).items()}
+    assert got == want
+    assert bool(contracted) == (one_task < 1 << 20)
+
+
+def test_spanning_forests_spare_the_contraction(spark, monkeypatch):
+    """Many edges of few vertices: a forest of each part of them is small enough for one task."""
+    monkeypatch.setattr(label_module, "weak_components", lambda *a, **k: pytest.fail("contracted"))
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(12), rng.randrange(12), 1) for k in range(2000)]
+    level = [rng.choice([1, 1, 1, 1, 2, 3]) if min(r[1:3]) % 2 == 0 else rng.choice([1, 4]) for r in rows]
+    edges = spark.createDataFrame([(*r[:3], x) for r, x in zip(rows, level, strict=True)], "id long, source long, target long, promoted_level int").repartition(4)
+    got = {(r.level, r.node): r.component for r in residue_components(edges, 5, one_task=100).collect()}
+    assert got == {(k, v): c for k in range(1, 6) for v, c in model.weak([e for e, x in zip(rows, level, strict=True) if x > k]).items()}
