@@ -196,13 +196,17 @@ def label_legacy(edges: DataFrame, vertices: DataFrame, num_levels: int = 10) ->
 
 
 def catalog(edges: DataFrame, num_levels: int = 10) -> DataFrame:
-    """(id, level, num_nodes, num_edges, num_border_nodes) of each residue component; border nodes also touch the skeleton."""
-    parts = cut(residue_components(edges, num_levels))
-    each = edges.select("source", "promoted_level", F.explode(_levels(num_levels)).alias("level")).where(F.col("promoted_level") > F.col("level"))
-    lines = each.join(parts.withColumnRenamed("node", "source"), ["level", "source"]).groupBy("level", "component").agg(F.count("*").cast("int").alias("num_edges"))
-    touching = skeleton_vertices(edges, num_levels).withColumn("_on", F.lit(1))
-    nodes = parts.join(touching, ["level", "node"], "left").groupBy("level", "component").agg(F.count("*").cast("int").alias("num_nodes"), F.count("_on").cast("int").alias("num_border_nodes"))
-    return nodes.join(lines, ["level", "component"]).select(F.col("component").alias("id"), "level", "num_nodes", "num_edges", "num_border_nodes")
+    """(id, level, num_nodes, num_edges, num_border_nodes) of each residue component; border nodes also touch the skeleton.
+
+    Edges are counted by their source before they meet the components.
+    """
+    parts = residue_components(edges, num_levels)
+    sides = F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(True).alias("out")), F.struct(F.col("target").alias("node"), F.lit(False).alias("out")))).alias("x")
+    above = [F.count_if(F.col("x.out") & (F.col("promoted_level") > k)) for k in range(1, num_levels + 1)]
+    ends = edges.select("promoted_level", sides).groupBy("x.node").agg(F.min("promoted_level").alias("least"), F.array(*above).alias("above"))
+    border, lines = F.count_if(F.col("least") <= F.col("level")), F.sum(F.get("above", F.col("level") - 1))
+    found = parts.join(ends, "node").groupBy("component", "level").agg(F.count("*").cast("int").alias("num_nodes"), lines.cast("int").alias("num_edges"), border.cast("int").alias("num_border_nodes"))
+    return found.withColumnRenamed("component", "id")
 
 
 def border_nodes(edges: DataFrame, num_levels: int = 10) -> DataFrame:

@@ -441,3 +441,28 @@ def test_spanning_forests_spare_the_contraction(spark, monkeypatch):
     edges = spark.createDataFrame([(*r[:3], x) for r, x in zip(rows, level, strict=True)], "id long, source long, target long, promoted_level int").repartition(4)
     got = {(r.level, r.node): r.component for r in residue_components(edges, 5, one_task=100).collect()}
     assert got == {(k, v): c for k in range(1, 6) for v, c in model.weak([e for e, x in zip(rows, level, strict=True) if x > k]).items()}
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def levelled_graph(spark, seed):
+    rows, level = ring_with_chords(seed)
+    made = [(*r[:3], float(r[3]), x) for r, x in zip(rows, level, strict=True)]
+    return rows, level, spark.createDataFrame(made, "id long, source long, target long, cost double, promoted_level int")
+
+
+def test_catalog_counts_edges_before_they_meet_components(spark):
+    rows, level, edges = levelled_graph(spark, 5)
+    found = catalog(edges, 5)
+    assert joins(found) == 1
+    want = {}
+    for k in range(1, 6):
+        above = [e for e, x in zip(rows, level, strict=True) if x > k]
+        ends = model.vertices([e for e, x in zip(rows, level, strict=True) if x <= k])
+        weak = model.weak(above)
+        for c in set(weak.values()):
+            nodes = {v for v in weak if weak[v] == c}
+            want[c, k] = len(nodes), sum(e[1] in nodes for e in above), len(nodes & ends)
+    assert {(r.id, r.level): (r.num_nodes, r.num_edges, r.num_border_nodes) for r in found.collect()} == want
