@@ -150,11 +150,16 @@ def skeleton_vertices(edges: DataFrame, num_levels: int = 10, column: str = "pro
 
 
 def _gather(df: DataFrame, key: list[str], num_levels: int) -> DataFrame:
-    """key and an array over levels of ``label``, 1 where a level has no row."""
-    picked = [F.coalesce(F.max(F.when(F.col("level") == k, F.col("label"))), F.lit(1)).cast("int") for k in range(1, num_levels + 1)]
+    """key and an array over levels of ``label``, null where a level has no row."""
+    picked = [F.max(F.when(F.col("level") == k, F.col("label"))).cast("int") for k in range(1, num_levels + 1)]
     return df.groupBy(*key).agg(F.array(*picked).alias("component"))
 
 
+def residue_arrays(edges: DataFrame, num_levels: int = 10) -> DataFrame:
+    """(node, component): an array over levels of the residue component's number + 1, null where the vertex has no residue edge."""
+    return _gather(residue_labels(edges, num_levels).select("level", "node", (F.col("label") + 1).alias("label")), ["node"], num_levels)
+
+
 def _least_levels(edges: DataFrame, column: str = "promoted_level") -> DataFrame:
     """(node, least): the level from which on a vertex lies on the skeleton."""
     return edges.select(F.explode(F.array("source", "target")).alias("node"), column).groupBy("node").agg(F.min(column).alias("least"))
@@ -164,17 +169,18 @@ def label(edges: DataFrame, vertices: DataFrame, num_levels: int = 10) -> tuple[
     """edges and vertices with their component arrays.
 
     A residue edge's label is its component's number + 1, a skeleton edge's 1. A vertex has the label
-    of its residue component unless it touches the skeleton of that level.
+    of its residue component unless it touches the skeleton of that level. An edge is joined once, to
+    the array of its source.
     """
-    parts = cut(residue_labels(edges, num_levels).select("level", "node", (F.col("label") + 1).alias("label")))
-    each = edges.select("id", "source", "target", "promoted_level", F.explode(_levels(num_levels)).alias("level")).where(F.col("promoted_level") > F.col("level"))
-    on_edges = each.join(parts.withColumnRenamed("node", "source"), ["level", "source"])
-    of_edges = _gather(on_edges.select("id", "source", "target", "level", "label").distinct(), ["id", "source", "target"], num_levels)
-    on_skeleton = skeleton_vertices(edges, num_levels)
-    of_vertices = _gather(parts.join(on_skeleton, ["level", "node"], "left_anti"), ["node"], num_levels)
-    ones = F.array_repeat(F.lit(1), num_levels)
-    new_edges = edges.drop("component").join(of_edges, ["id", "source", "target"], "left").withColumn("component", F.coalesce("component", ones))
-    new_vertices = vertices.drop("component").join(of_vertices.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", ones))
+    parts = cut(residue_arrays(edges, num_levels))
+
+    def labels(own: str) -> Column:
+        """Labels of the levels below own."""
+        return F.transform(_levels(num_levels), lambda k: F.when(F.col(own) > k, F.coalesce(F.get("component", k - 1), F.lit(1))).otherwise(1))
+
+    new_edges = edges.drop("component").join(parts.withColumnRenamed("node", "source"), "source", "left").withColumn("component", labels("promoted_level"))
+    of_vertices = parts.join(_least_levels(edges), "node").select(F.col("node").alias("id"), labels("least").alias("component"))
+    new_vertices = vertices.drop("component").join(of_vertices, "id", "left").withColumn("component", F.coalesce("component", F.array_repeat(F.lit(1), num_levels)))
     return new_edges.select(*edges.columns, *[c for c in ("component",) if c not in edges.columns]), new_vertices.select(*vertices.columns, *[c for c in ("component",) if c not in vertices.columns])
 
 

@@ -466,3 +466,18 @@ def test_catalog_counts_edges_before_they_meet_components(spark):
             nodes = {v for v in weak if weak[v] == c}
             want[c, k] = len(nodes), sum(e[1] in nodes for e in above), len(nodes & ends)
     assert {(r.id, r.level): (r.num_nodes, r.num_edges, r.num_border_nodes) for r in found.collect()} == want
+
+
+def test_edges_are_labelled_by_one_join(spark):
+    """Two rows of one id and ends may differ in level, and each has its own labels."""
+    rows, level, edges = levelled_graph(spark, 6)
+    rows, level = rows + [rows[0], rows[0]], level + [1, 5]
+    edges = edges.union(spark.createDataFrame([(*rows[0][:3], 1.0, 1), (*rows[0][:3], 1.0, 5)], edges.schema))
+    names = spark.createDataFrame([(v,) for v in model.vertices(rows)], "id long")
+    marked, seen = label(edges, names, 5)
+    assert joins(marked) == 1 and "Generate explode" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    of_edges, of_vertices = model.labels(rows, level, 5)
+    key = lambda e, x, own: (*e[:3], own, list(x))
+    got = sorted(key((r.id, r.source, r.target), r.component, r.promoted_level) for r in marked.collect())
+    assert got == sorted(key(e, x, own) for e, x, own in zip(rows, of_edges, level, strict=True))
+    assert {r.id: list(r.component) for r in seen.collect()} == of_vertices
