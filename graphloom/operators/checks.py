@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import STRONG_TASK_EDGES, strong_components, tarjan
 from graphloom.operators.fixpoint import cut
-from graphloom.operators.label import at_level, residue_labels, split_level
+from graphloom.operators.label import at_level, residue_arrays, split_level
 
 
 class Broken(AssertionError):
@@ -70,12 +70,14 @@ def skeletons_nested(edges: DataFrame, num_levels: int = 10) -> DataFrame:
 
 
 def labels_match(edges: DataFrame, num_levels: int = 10) -> DataFrame:
-    """(level, n_wrong, ok): each residue edge has the label of its component as computed anew, with the ends swapped."""
-    fresh = residue_labels(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "promoted_level"), num_levels)
-    each = edges.select("target", "component", "promoted_level", F.explode(F.sequence(F.lit(1), F.lit(num_levels))).alias("level")).where(F.col("promoted_level") > F.col("level"))
-    both = each.join(fresh.select("level", F.col("node").alias("target"), F.col("label").alias("fresh")), ["level", "target"], "left")
-    wrong = both.groupBy("level").agg(F.count_if(~F.get("component", F.col("level") - 1).eqNullSafe((F.col("fresh") + 1).cast("int"))).alias("n_wrong"))
-    return wrong.withColumn("ok", F.col("n_wrong") == 0)
+    """(level, n_wrong, ok): each residue edge has the label of its component as computed anew, with the ends swapped; levels without such edges have no row."""
+    fresh = residue_arrays(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "promoted_level"), num_levels)
+    both = edges.select("target", "component", "promoted_level").join(fresh.select(F.col("node").alias("target"), F.col("component").alias("fresh")), "target", "left")
+    on = [F.col("promoted_level") > k for k in range(1, num_levels + 1)]
+    wrong = [F.count_if(x & ~F.get("component", F.lit(k)).eqNullSafe(F.get("fresh", F.lit(k)))) for k, x in enumerate(on)]
+    pairs = [F.struct(F.lit(k).alias("level"), F.count_if(x).alias("n"), w.alias("n_wrong")) for k, (x, w) in enumerate(zip(on, wrong, strict=True), 1)]
+    each = both.agg(F.array(*pairs).alias("pairs")).select(F.explode("pairs").alias("x")).where("x.n > 0").select("x.level", "x.n_wrong")
+    return each.withColumn("ok", F.col("n_wrong") == 0)
 
 
 def routes_bounded(found: DataFrame, num_levels: int = 10) -> DataFrame:

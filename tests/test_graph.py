@@ -481,3 +481,12 @@ def test_edges_are_labelled_by_one_join(spark):
     got = sorted(key((r.id, r.source, r.target), r.component, r.promoted_level) for r in marked.collect())
     assert got == sorted(key(e, x, own) for e, x, own in zip(rows, of_edges, level, strict=True))
     assert {r.id: list(r.component) for r in seen.collect()} == of_vertices
+
+
+def test_labels_are_checked_by_one_join(spark, built):
+    found = checks.labels_match(built.edges, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # sums are spread over levels, not edges
+    assert {(r.level, r.n_wrong, r.ok) for r in found.collect()} == {(k, 0, True) for k in (1, 2, 3)}
+    put = F.transform("component", lambda x, i: F.when((i == 1) & (F.col("id") == 6), None).otherwise(x))
+    assert {(r.level, r.n_wrong, r.ok) for r in checks.labels_match(built.edges.withColumn("component", put), 5).collect()} == {(1, 0, True), (2, 1, False), (3, 0, True)}
