@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from graphloom.operators import checks
 from graphloom.operators.betweenness import edge_betweenness
-from graphloom.operators.fixpoint import cut
+from graphloom.operators.fixpoint import cut, forget
 from graphloom.operators.label import label
 from graphloom.operators.levels import with_levels
 from graphloom.operators.preprocess import clean
@@ -33,8 +33,10 @@ def ranked_edges(ways: DataFrame, num_levels: int = 10, sources: DataFrame | Non
     """Cleaned edges with betweenness and levels, and cleaned vertices; betweenness is rounded to 9 decimals, so that levels do not hang on the order of sums."""
     from pyspark.sql import functions as F
 
+    ways = cut(ways)  # streets are read twice, once for components
     edges, vertices = clean(ways)
     edges, vertices = cut(edges), cut(vertices)
+    forget(ways)
     scored = cut(edge_betweenness(edges, sources).withColumn("betweenness", F.round("betweenness", 9)))
     levelled = with_levels(scored, num_levels).withColumn("component", F.array_repeat(F.lit(1), num_levels))
     new_edges, new_vertices = load_results(edges, vertices, levelled.select("id", "source", "target", "betweenness", "level", "component"))

@@ -490,3 +490,16 @@ def test_labels_are_checked_by_one_join(spark, built):
     assert {(r.level, r.n_wrong, r.ok) for r in found.collect()} == {(k, 0, True) for k in (1, 2, 3)}
     put = F.transform("component", lambda x, i: F.when((i == 1) & (F.col("id") == 6), None).otherwise(x))
     assert {(r.level, r.n_wrong, r.ok) for r in checks.labels_match(built.edges.withColumn("component", put), 5).collect()} == {(1, 0, True), (2, 1, False), (3, 0, True)}
+
+
+def test_a_build_reads_its_streets_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    built = build_hierarchy(ways_of(spark, STREETS).mapInArrow(told, WAYS), 5, verify=False)
+    assert {(r.id, r.source, r.target): r.promoted_level for r in built.edges.collect()} == {k: v[2] for k, v in GOLDEN.items()}
+    assert read.value == len(STREETS)
