@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.components import STRONG_TASK_EDGES, strong_components, tarjan
+from graphloom.operators.components import STRONG_TASK_EDGES, strong_components, strong_parts, tarjan
 from graphloom.operators.csr import BROADCAST_EDGES
 from graphloom.operators.fixpoint import cut, forget, numbered
 from graphloom.operators.paths import path_edges, shared_graph
@@ -67,11 +67,45 @@ def promote_level(edges: DataFrame, level: int, broadcast_edges: int = BROADCAST
     return out
 
 
+def _raised(edges: DataFrame, num_levels: int, graph: Broadcast) -> DataFrame:
+    """(id, raised): the first level at which the street is on a connecting path, for graphs of few hubs, whose paths come from tables; one task goes from level to level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph.value
+        parts = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not parts:
+            return
+        edge_id, source, target, own = (np.concatenate(side) for side in zip(*parts, strict=True))
+        tail, head = np.searchsorted(g.ids, source), np.searchsorted(g.ids, target)
+        for level in range(1, num_levels + 1):
+            on = own <= level
+            labels = strong_parts(len(g.ids), tail[on], head[on])
+            reps = np.unique(labels[np.concatenate([tail[on], head[on]])])
+            if len(reps) < 2:
+                continue
+            streets = np.unique(g.edge_id[g.hubs.paths(reps, np.roll(reps, -1))[2]])
+            hit = (own > level) & np.isin(edge_id, streets)
+            own[hit] = level
+            some = np.unique(edge_id[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), level, np.int32))], names=["id", "raised"])
+
+    never = F.coalesce("promoted_level", F.lit(num_levels + 1)).cast("int")
+    found = edges.select("id", "source", "target", never).coalesce(1).mapInArrow(run, "id long, raised int")
+    return found.groupBy("id").agg(F.min("raised").alias("raised"))
+
+
 def promote(edges: DataFrame, num_levels: int = 10, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """All levels from the highest on, as each starts from what the last promoted."""
+    """All levels from the highest on, as each starts from what the last promoted; one task's work on graphs of few hubs."""
     edges = cut(edges)
     count = edges.count()
     graph = shared_graph(edges, broadcast_edges)  # paths run on all edges, which no level changes
+    if graph is not None and graph.value.hubs is not None and count <= STRONG_TASK_EDGES:
+        found = edges.join(_raised(edges, num_levels, graph), "id", "left")
+        raised = F.when(F.col("raised") < F.col("promoted_level"), F.col("raised")).otherwise(F.col("promoted_level")).cast("int")
+        out = cut(found.withColumn("promoted_level", raised).select(*edges.columns))
+        graph.destroy()
+        forget(edges)
+        return out
     for level in range(1, num_levels + 1):
         before, edges = edges, promote_level(edges, level, broadcast_edges, graph, count)
         if before is not edges:

@@ -8,6 +8,7 @@ from graphloom import schema
 from graphloom.functions.ranking import quantiles
 from graphloom.operators import betweenness as betweenness_module
 from graphloom.operators import label as label_module
+from graphloom.operators import promote as promote_module
 from graphloom.operators import checks, components, hubs, routing
 from graphloom.operators.betweenness import edge_betweenness, sample_sources
 from graphloom.operators.components import largest_component, strong_components
@@ -492,6 +493,18 @@ def test_labels_are_checked_by_one_join(spark, built):
     assert {(r.level, r.n_wrong, r.ok) for r in checks.labels_match(built.edges.withColumn("component", put), 5).collect()} == {(1, 0, True), (2, 1, False), (3, 0, True)}
 
 
+def test_few_hubs_are_promoted_without_a_round_a_level(spark, monkeypatch):
+    """Streets of several rows and ids, and a row without a level, which stays so."""
+    monkeypatch.setattr(promote_module, "promote_level", lambda *a, **k: pytest.fail("a round a level"))
+    rows, level = ring_with_chords(9)
+    rows += [(i, t, s, c + 1) for i, s, t, c in rows[:6]]
+    level += [5, 4, 5, 3, 5, 2]
+    made = [(*r[:3], float(r[3]), x) for r, x in zip(rows, level, strict=True)] + [(100, 1, 2, 9.0, None)]
+    out = promote(spark.createDataFrame(made, "id long, source long, target long, cost double, promoted_level int"), 5)
+    want = model.promote(rows, level, 5)
+    assert sorted((r.id, r.source, r.target, r.cost, r.promoted_level or 0) for r in out.collect()) == sorted([(*r, x) for r, x in zip(rows, want, strict=True)] + [(100, 1, 2, 9.0, 0)])
+
+
 def test_a_build_reads_its_streets_once(spark, monkeypatch):
     read = spark.sparkContext.accumulator(0)
 
