@@ -21,6 +21,7 @@ from graphloom.operators.preprocess import clean, directed_edges
 from graphloom.operators.promote import connections, promote, promote_level, promotion_summary
 from graphloom.operators.routing import random_pairs, route_quality, routes
 from graphloom.operators.update import load_results, zip_pairs
+from graphloom.plans import networks
 from graphloom.plans.hierarchy import build_hierarchy, ranked_edges
 from tests import model
 
@@ -516,3 +517,11 @@ def test_a_build_reads_its_streets_once(spark, monkeypatch):
     built = build_hierarchy(ways_of(spark, STREETS).mapInArrow(told, WAYS), 5, verify=False)
     assert {(r.id, r.source, r.target): r.promoted_level for r in built.edges.collect()} == {k: v[2] for k, v in GOLDEN.items()}
     assert read.value == len(STREETS)
+
+
+def test_trade_meets_line_items_last(spark, sf_dir):
+    found = networks.trade(spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" in plan[plan.index("Join ") :].splitlines()[0]  # the outermost of both joins
+    plain = networks.network(spark, sf_dir, networks.TRADE)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
